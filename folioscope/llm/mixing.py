@@ -26,6 +26,8 @@ WEIGHTS = (3, 1, 2)
 SPAN = 1 << 16
 #: Hash ranges in which a length's documents are ranked.
 RANGES = 64
+#: A length with more documents than this is ranked by ranges.
+RANKED = 256
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def mix(docs: DataFrame, seed: int = 20_260, ratio: float = 1.5, most: float = 2
         .join(plan.alias("p"), same("d", "p") & (F.col("d.size") == F.col("p.size")))
         .select("d.doc_id", "d.size", "p.source", "p.source_size", "p.target", "p.whole", "p.chosen", "p.n", key.alias("k"))
     )
-    range_ = F.when(F.col("n") > 4096, F.shiftrightunsigned(F.col("k"), 58)).otherwise(0).cast("int")
+    range_ = F.when(F.col("n") > RANKED, F.shiftrightunsigned(F.col("k"), 58)).otherwise(0).cast("int")
     dealt = dealt.withColumn("r", range_)
     some = dealt.where("chosen > 0 and chosen < n")
     ahead = some.groupBy("source", "size", "r").agg(F.count("*").alias("m"))
