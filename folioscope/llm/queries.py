@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import decontam, mixing, pii, simhash, substrings, token_counts, toxicity, urls
+from folioscope.llm import decontam, licenses, mixing, neighbours, pii, simhash, substrings, token_counts, toxicity, urls
 from folioscope.llm.common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -41,5 +49,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_token_counts, op5_source_mix, op6_benchmark_overlap, op7_repeated_substrings, op8_personal_data, op9_url_filter, op10_simhash)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_toxicity, op3_nearest_neighbours, op4_token_counts, op5_source_mix, op6_benchmark_overlap, op7_repeated_substrings, op8_personal_data, op9_url_filter, op10_simhash, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
