@@ -1,7 +1,7 @@
 """Exact removal of repeated 50-byte strings by merging shard Burrows-Wheeler transforms.
 
 A byte goes if a ``width``-byte string that covers it also starts in a document with a smaller doc_id; strings are
-judged on the input. Four rounds over documents dealt to groups by a hash of doc_id (about 16 MB of text each), all
+judged on the input. Four rounds over documents dealt to groups by a hash of doc_id (about 8 MB of text each), all
 reading one shuffle of the texts:
 
 1. every window of ``width`` bytes gets a content-defined anchor; the anchors that occur in two documents are found
@@ -35,7 +35,7 @@ from folioscope.llm.common import parts
 
 LAST = np.iinfo(np.int64).max
 #: Bytes of text in a group of documents, on average.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 #: Bytes of a shard that is transformed at once.
 SHARD_BYTES = 1 << 19
 _SEND = "bucket int, pi int, payload binary"
@@ -107,8 +107,8 @@ def least_by_window(text: np.ndarray, lens: np.ndarray, doc: np.ndarray, width:
     """
     bounds = np.concatenate(([0], np.cumsum(lens + 1)))
     held = np.full(bounds[-1], 255, np.uint8)  # no UTF-8 text holds this byte
-    own = np.repeat(np.arange(len(lens)), lens + 1)
-    inside = np.arange(len(held)) - bounds[own]
+    own = np.repeat(np.arange(len(lens), dtype=np.int32), lens + 1)
+    inside = np.arange(len(held), dtype=np.int32) - bounds[own].astype(np.int32)
     held[inside < lens[own]] = text
     place, columns, at = [], [], 0
     while at < len(lens):
@@ -361,10 +361,11 @@ def _round_4(n, width, gram):
         hit = value < group.doc[e]
         np.add.at(gone, start[e[hit]] + offset[hit], 1)
         np.add.at(gone, start[e[hit]] + offset[hit] + width, -1)
-        mask = np.cumsum(gone) > 0
-        runs = np.cumsum(mask & ~np.concatenate(([False], mask[:-1])))
-        removed = np.concatenate(([0], np.cumsum(mask)))
-        n_removed = removed[base[1:] - 1] - removed[base[:-1]]
+        mask = np.cumsum(gone, out=gone) > 0
+        del gone
+        runs = np.cumsum(mask & ~np.concatenate(([False], mask[:-1])), dtype=np.int32)
+        removed = np.concatenate((np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)))
+        n_removed = (removed[base[1:] - 1] - removed[base[:-1]]).astype(np.int64)
         n_spans = [int(runs[b + s - 1] - (runs[b - 1] if b else 0)) if s else 0 for b, s in zip(base[:-1].tolist(), sizes.tolist())]
         digests = []
         for text, b, s, k in zip(group.texts, base[:-1].tolist(), sizes.tolist(), n_removed.tolist()):
