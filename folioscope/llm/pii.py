@@ -104,33 +104,37 @@ def _scanned(docs: DataFrame, reach: int) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, share: float = 0.8, least: int = 3) -> DataFrame:
-    """(key, term) for each different text and each disclosing term that it holds."""
+    """The disclosing terms (term).
+
+    A term's rows near any entity are a lower bound of those that hold it at all, so most terms are settled without the
+    corpus counts, which are made for all words before they meet the rest.
+    """
     seen = scanned.where("size(base) > 0").select("key", F.explode("base").alias("b"))
     holds = seen.select("key", F.concat_ws(":", "b.kind", F.lower("b.value")).alias("entity"), "b.before", "b.after")
     near = holds.select("key", "entity", F.xxhash64("before", "after").alias("context"), F.explode(_terms(F.concat_ws("\n", "before", "after"))).alias("term"))
     contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= least)
-    rows = scanned.groupBy("key").agg(F.count("*").alias("rows"))
-    weighed = stored(near.select("key", "entity", "term").distinct().join(contexts, ["entity", "term"]).select("key", "entity", "term").join(rows, "key"))
-    both = weighed.groupBy("entity", "term").agg(F.sum("rows").alias("both"))
-    terms = both.select("term").distinct()
-    entities = holds.select("key", "entity").distinct().join(both.select("entity").distinct(), "entity").join(rows, "key").groupBy("entity").agg(F.sum("rows").alias("e"))
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    held = stored(texts.select(F.sha2("text", 256).alias("key"), F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term").groupBy("key", "term").agg(F.count("*").alias("rows")))
-    total = scanned.agg(F.count("*").alias("n"))
-    sizes = held.groupBy("term").agg(F.sum("rows").alias("t"))
-    told = both.join(entities, "entity").join(sizes, "term").join(F.broadcast(total), F.lit(True))  # one row
-    told = told.where("e < n").withColumn("disclosed", 1 + F.log(F.col("both") / F.col("t")) / F.log(F.col("n") / F.col("e")))
-    risky = told.where(F.col("disclosed") >= share).select("term").distinct()
-    return held.join(risky, "term").select("key", "term")
+    rows = scanned.where("size(base) > 0").groupBy("key").agg(F.count("*").alias("rows"))
+    both = near.select("key", "entity", "term").distinct().join(contexts, ["entity", "term"]).join(rows, "key").groupBy("entity", "term").agg(F.sum("rows").alias("both"))
+    entities = holds.select("key", "entity").distinct().join(rows, "key").groupBy("entity").agg(F.sum("rows").alias("e"))
+    anywhere = near.select("key", "term").distinct().join(rows, "key").groupBy("term").agg(F.sum("rows").alias("bound"))
+    n = scanned.count()
+    disclosed = lambda t: 1 + F.log(F.col("both") / F.col(t)) / F.log(F.lit(float(n)) / F.col("e"))
+    likely = stored(both.join(entities, "entity").where(F.col("e") < n).join(anywhere, "term").where(disclosed("bound") >= share).select("term", "both", "e"))
+    # rows, not different texts: the whole corpus counts
+    sizes = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("t"))
+    return stored(likely.join(sizes, "term").where(disclosed("t") >= share).select("term").distinct())
 
 
 def _term_spans(docs: DataFrame, risky: DataFrame) -> DataFrame:
     """(key, terms: array<struct<start, end>>): where disclosing terms stand, by start."""
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.sha2("text", 256))
-    lists = risky.groupBy("key").agg(F.collect_set("term").alias("risky"))  # at most a text's own words
-    texts = texts.join(lists, "key").dropDuplicates(["key"])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = docs.select(F.sha2(text, 256).alias("key"), F.explode(_terms(text)).alias("term"))
+    # at most a text's own words in a list
+    lists = stored(words.join(risky, "term").groupBy("key").agg(F.collect_set("term").alias("risky")))
+    texts = docs.select(text.alias("text")).withColumn("key", F.sha2("text", 256)).join(lists, "key")
     found = F.filter(matches(F.col("text"), TERM), lambda x: F.array_contains("risky", F.lower(x["value"])))
-    return texts.select("key", F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("terms"))
+    spans = texts.select("key", F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("terms"))
+    return spans.groupBy("key").agg(F.max("terms").alias("terms"))
 
 
 def find(docs: DataFrame, reach: int = 64, share: float = 0.8, least: int = 3) -> DataFrame:
