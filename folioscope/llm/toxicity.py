@@ -138,22 +138,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, features: int
 
     mark, lens, ids = [], [], []
     for r in rows.mapInArrow(_present(slot), "toxic int, found binary").toLocalIterator():
-        f = np.frombuffer(r["found"], np.int32)
+        f = np.frombuffer(r["found"], np.int32).astype(np.uint16)
         mark.append(r["toxic"])
         lens.append(len(f))
         ids.append(f)
-    mark, lens, ids = np.array(mark), np.array(lens), np.concatenate([*ids, np.zeros(0, np.int32)])
-    order = np.repeat(np.arange(len(mark)), lens)
+    mark, lens, ids = np.array(mark), np.array(lens), np.concatenate([*ids, np.zeros(0, np.uint16)])
+    ends = np.cumsum(lens)
     weigh = np.where(mark == 1, total[1] / n[1], total[0] / n[0])
     weigh = weigh / weigh.mean()
 
     def loss(v):
-        z = np.bincount(order, weights=(v[:-1] * ratio)[ids], minlength=len(mark)) + v[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        value = (weigh * (np.logaddexp(0, z) - mark * z)).sum() + 0.5 * ridge * (v[:-1] @ v[:-1])
-        err = weigh * (p - mark)
-        grad = np.bincount(ids, weights=err[order], minlength=len(best)) * ratio + ridge * v[:-1]
-        return value, np.append(grad, err.sum())
+        value, grad, w = 0.5 * ridge * (v[:-1] @ v[:-1]), np.append(ridge * v[:-1], 0.0), v[:-1] * ratio
+        for low in range(0, len(mark), 256):  # by blocks of rows: the driver holds little beside the features
+            part = slice(low, low + 256)
+            of, y, k = np.repeat(np.arange(len(lens[part])), lens[part]), mark[part], weigh[part]
+            own = ids[ends[low] - lens[low] : ends[part][-1]]
+            z = np.bincount(of, weights=w[own], minlength=len(y)) + v[-1]
+            value += (k * (np.logaddexp(0, z) - y * z)).sum()
+            err = k * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+            grad[:-1] += np.bincount(own, weights=err[of], minlength=len(best)) * ratio
+            grad[-1] += err.sum()
+        return value, grad
 
     v = _minimise(loss, np.zeros(len(best) + 1))
     return Model(slot, v[:-1] * ratio, float(v[-1]))
