@@ -1 +1,5 @@
-"""Document-quality analytics on Spark."""
+"""Registered queries and their oracles."""
+
+from folioscope.plans import attempts, documents, structure
+
+PLANS = (attempts, documents, structure)
