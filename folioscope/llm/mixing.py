@@ -78,6 +78,11 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             left -= more * int(lengths[i])
         if left > SPAN:
             return take
+    for i in order[::-1].tolist():  # give some documents back, shortest first, so that the program has more to choose from
+        back = min(int(take[i]), (SPAN // 2 - left) // int(lengths[i])) if lengths[i] else 0
+        if back > 0:
+            take[i] -= back
+            left += back * int(lengths[i])
     reached = np.full(left + 1, -1, np.int64)  # the item by which a sum was first reached
     reached[0] = -2
     items: list[tuple[int, int]] = []
