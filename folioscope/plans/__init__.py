@@ -1,5 +1,5 @@
 """Registered queries and their oracles."""
 
-from folioscope.plans import attempts, documents, structure
+from folioscope.plans import attempts, documents, routing, structure
 
-PLANS = (attempts, documents, structure)
+PLANS = (attempts, documents, structure, routing)
