@@ -131,7 +131,7 @@ def running_budget(attempts: DataFrame, calls: int = 10, soft: float = 90.0, har
     return attempts.select("doc", "ord", spent.alias("spent"), stop.alias("stopped_by"))
 
 
-def breaker(attempts: DataFrame, fatal: str = "logout") -> DataFrame:
+def breaker(attempts: DataFrame, fatal: str = "error") -> DataFrame:
     """Sticky state: an attempt is blocked once a fatal class was seen before it; and the greatest cost so far."""
     hit = F.coalesce(F.max(F.col("class") == fatal).over(_before()), F.lit(False))
     return attempts.select("doc", "ord", hit.alias("blocked"), F.max("seconds").over(_so_far()).alias("most_so_far"))

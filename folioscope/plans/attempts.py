@@ -49,7 +49,7 @@ _add("e19_budget_replay", op.budget_replay, """SELECT doc, k, CASE WHEN sum(acce
   count(*) FILTER (ord > k) AS calls_saved, coalesce(sum(seconds) FILTER (ord > k), 0) AS seconds_saved FROM attempts, (VALUES (4), (6), (8), (10)) t(k) GROUP BY doc, k""")
 _add("e20_running_budget", op.running_budget, f""", s AS (SELECT *, coalesce(sum(seconds) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM attempts)
 SELECT doc, ord, spent, CASE WHEN spent + seconds > 300 THEN 'hard' WHEN spent + seconds > 90 THEN 'soft' WHEN ord > 10 THEN 'calls' ELSE 'none' END AS stopped_by FROM s""")
-_add("m09_breaker", op.breaker, f"""SELECT doc, ord, coalesce(max(class = 'logout') OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS blocked,
+_add("m09_breaker", op.breaker, f"""SELECT doc, ord, coalesce(max(class = 'error') OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS blocked,
   max(seconds) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS most_so_far FROM attempts""")
 _add("g04_fingerprints", op.fingerprints, """SELECT sha256(lower(class) || '|' || coalesce(page::VARCHAR, '')) AS fingerprint, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen,
   count(DISTINCT doc) AS documents, sum(seconds) AS total_seconds FROM attempts WHERE NOT accepted GROUP BY 1""")
