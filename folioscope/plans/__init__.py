@@ -1,5 +1,5 @@
 """Registered queries and their oracles."""
 
-from folioscope.plans import attempts, documents, routing, structure, transcripts
+from folioscope.plans import attempts, documents, gates, routing, structure, transcripts
 
-PLANS = (attempts, documents, structure, routing, transcripts)
+PLANS = (attempts, documents, structure, routing, transcripts, gates)
