@@ -128,3 +128,26 @@ def test_windows(spark, stream):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM win").first()[0] == rows.count()
+
+
+def test_tables():
+    from folioscope.operators.rewriting import tables_of
+
+    assert tables_of("a\tb\n1\t2\nx") == "| a | b |\n| --- | --- |\n| 1 | 2 |\nx"
+    assert tables_of("| a | b |\n| 1 | 2 |") == "| a | b |\n| --- | --- |\n| 1 | 2 |"
+    done = "| a | b |\n| --- | --- |\n| 1 | 2 |\n\n```\nq\tr\n```"
+    assert tables_of(done) == done
+
+
+def test_bold(spark):
+    from folioscope.operators.rewriting import bold
+
+    docs = spark.createDataFrame([(1, "# LEAP\nLEAP leap LEAP `deep net` deep nets deep net **deep net** deep net deep net")], "doc_id long, text string")
+    assert bold(docs, ("LEAP", "deep net")).first().text == "# LEAP\n**LEAP** leap LEAP `deep net` deep nets **deep net** **deep net** **deep net** deep net"
+
+
+def test_outside_code(spark):
+    from folioscope.operators.rewriting import math_delimiters
+
+    row = spark.createDataFrame([(r"`\(a\)` \(b\) ```" + "\n\\[c\\]\n```",)], "t string").select(math_delimiters(F.col("t"))).first()
+    assert row[0] == "`\\(a\\)` $b$ ```\n\\[c\\]\n```"
