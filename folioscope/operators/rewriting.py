@@ -130,7 +130,7 @@ def repair_tables(docs: DataFrame) -> DataFrame:
 
 def bold(docs: DataFrame, phrases: tuple[str, ...], most: int = 2) -> DataFrame:
     """Known phrases in bold: whole words, longest first, not in headings, code, links or bold already; at most ``most`` a document, once for short acronyms."""
-    shield = re.compile(r"(?s)```.*?```|`[^`\n]+`|!?\[[^\]]*\]\([^)]*\)|\*\*.+?\*\*|(?m:^#{1,6} .*$)|\$\$.*?\$\$|\$[^$\n]+\$")
+    shield = re.compile(r"(?s)```.*?```|`[^`\n]+`|!?\[[^\]]*\]\([^)]*\)|\*\*.+?\*\*|(?m:^#{1,6} [^\n]*$)|\$\$.*?\$\$|\$[^$\n]+\$")
     finders = [(re.compile(rf"(?<!\w){re.escape(p)}(?!\w)"), 1 if p.isupper() and len(p) <= 6 else most) for p in sorted(phrases, key=lambda p: (-len(p), p))]
 
     def mark(text: str) -> str:
