@@ -1,5 +1,5 @@
 """Registered queries and their oracles."""
 
-from folioscope.plans import attempts, documents, gates, rewriting, routing, structure, transcripts
+from folioscope.plans import attempts, documents, gates, reconcile, rewriting, routing, structure, transcripts
 
-PLANS = (attempts, documents, structure, routing, transcripts, gates, rewriting)
+PLANS = (attempts, documents, structure, routing, transcripts, gates, rewriting, reconcile)
