@@ -151,3 +151,27 @@ def test_outside_code(spark):
 
     row = spark.createDataFrame([(r"`\(a\)` \(b\) ```" + "\n\\[c\\]\n```",)], "t string").select(math_delimiters(F.col("t"))).first()
     assert row[0] == "`\\(a\\)` $b$ ```\n\\[c\\]\n```"
+
+
+def test_corruption(spark):
+    from folioscope.functions import gates
+
+    rows = [("ok", "\\frac{a}{b} = c"), ("quads", "\\quad " * 9 + "x"), ("braces", "x = {y"), ("env", "\\begin{align} a \\end{cases}"), ("letters", "a b c d e f"), ("empty", "")]
+    got = {r.k: r.q for r in spark.createDataFrame(rows, "k string, t string").select("k", gates.corruption(F.col("t")).alias("q")).collect()}
+    assert got["ok"].valid and got["ok"].corruption == 0 and got["ok"].reasons == "" and got["empty"].valid
+    assert not got["quads"].valid and "quad_run" in got["quads"].reasons and "spacing_only_ratio" in got["quads"].reasons
+    assert got["braces"].syntax == 0.4 and not got["braces"].valid and got["env"].syntax == 0.3 and got["letters"].corruption == 0.85
+
+
+def test_best_transcript(spark):
+    from folioscope.operators.pages import best_transcript
+
+    long, head = "plain words here. " * 30, "# Title\n" + "plain words here. " * 20
+    rows = [(1, "b", long), (1, "a", head), (2, "a", "short"), (3, "a", long + "k" * 50), (3, "b", long)]
+    got = {r.doc_id: r.source for r in best_transcript(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got == {1: "a", 3: "b"}
+
+
+def test_renumbered(spark):
+    docs = spark.createDataFrame([(1, "<!-- i0001:f01 --> and i0009:f02, not xi0001:f01")], "doc_id long, text string")
+    assert sq.renumbered(docs, 6).first().text == "<!-- i0007:f01 --> and i0015:f02, not xi0001:f01"
