@@ -271,3 +271,47 @@ def spans(docs: DataFrame, find) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, kind string, content string")
+
+
+FORMAT_ISSUES = (("latex_inline", re.compile(r"\\\(.*?\\\)", re.DOTALL)), ("latex_display", re.compile(r"\\\[.*?\\\]", re.DOTALL)), ("single_line_display", re.compile(r"\$\$[^\n$]*\$\$")))
+PROSE_WORDS = re.compile(r"(?i)\b(?:we|the|and|for|with|from|that|this|is|are|was|were|associated|corresponds|including|construct|dataset)\b")
+TEXT_ISSUES = (
+    ("decimal_split", re.compile(r"(?<![\w.])\d+\s+\.\s+\d+(?![\w.])")),
+    ("suspicious_subscript", re.compile(r"\\(?:pm|le|ge|in|times|cdot)_\{[^}]+\}")),
+    ("hat_corruption", re.compile(r"ˆ\s*[A-Za-z]")),
+    ("detached_script", re.compile(r"(?<![A-Za-z\\$])([A-Za-z])\s*\(\s*[A-Za-z0-9]+\s*\)\s*[A-Za-z0-9]\b")),
+    ("split_math_word", re.compile(r"\b(?:Pr\s+e\s+c|R\s+e\s+c|F\s+1)\b")),
+    ("display_contamination", re.compile(r"\$\$[\s\S]{0,200}?\\text\{[^}]{20,}\}")),
+)
+
+
+def format_issues_of(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of delimiters that want rewriting, by kind."""
+    return [(*m.span(), kind) for kind, pattern in FORMAT_ISSUES for m in pattern.finditer(text)]
+
+
+def text_issues_of(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of what looks broken in a text, prose inside maths included."""
+    prose = [(a, b, "prose_in_math") for a, b, _ in math_of(text) if PROSE_WORDS.search(re.sub(r"\\text\s*\{[^}]*\}", "", text[a:b].strip("$")))]
+    return [(*m.span(), kind) for kind, pattern in TEXT_ISSUES for m in pattern.finditer(text)] + prose
+
+
+def without_orphan_markers(text: Column) -> Column:
+    """A figure marker right after an image line goes, with the blank lines after it."""
+    blank = r"(?:[^\S\n]*+\n)*+"
+    return F.regexp_replace(text, rf"(?m)^([^\n]*!\[[^\]\n]*\]\([^)\n]+\)[^\n]*\n{blank})[^\n]*{tr.FIGURE_MARK}[^\n]*(?:\n{blank}|$)", "$1")
+
+
+def placed_of(text: str) -> str:
+    """Invented image addresses as figure markers of the page they stand on."""
+    image = r"https?://example\.com/fig(?:ure)?[_-]?(\d+)\."
+    page = 1
+
+    def mark(m: re.Match) -> str:
+        nonlocal page
+        if m[1]:
+            page = int(m[1])
+            return m[0]
+        return f"<!-- {tr.MARK}:FIGURE:p{page:04d}:f{int(m[2] or m[3]):02d} -->"
+
+    return re.sub(rf"(?i){tr.PAGE_MARK}|!\[[^\]]*\]\(\s*{image}[^)]+\)|{image}(?:png|jpe?g|gif|webp)", mark, text)

@@ -52,3 +52,43 @@ def test_block_without_an_answer(spark):
     blocks = spark.createDataFrame([(1, 0, 1, "4", "", "a"), (1, 1, 9, None, None, None), (3, 0, 2, "1", "", "Eq (1)"), (3, 1, 6, "", "", "b")], "doc_id long, ord int, at int, number string, label string, content string")
     got = {r.doc_id: (r.method, r.ord) for r in rv.chosen_block(asked, blocks).collect()}
     assert got == {1: ("none", None), 2: ("none", None), 3: ("number_nearby", 1)}
+
+
+def test_issues():
+    text = "a \\(x\\) \\[y\n\\] $$z$$ 1 . 5 $the x$ $\\text{the} y$ ˆ p F 1"
+    assert [(text[a:b], k) for a, b, k in rv.format_issues_of(text)] == [("\\(x\\)", "latex_inline"), ("\\[y\n\\]", "latex_display"), ("$$z$$", "single_line_display")]
+    assert sorted((k, text[a:b]) for a, b, k in rv.text_issues_of(text)) == [("decimal_split", "1 . 5"), ("hat_corruption", "ˆ p"), ("prose_in_math", "$the x$"), ("split_math_word", "F 1")]
+
+
+def test_invented_images_take_their_page():
+    text = "![a](https://example.com/fig1.png) <!-- DOC:PAGE:0003 -->\nhttps://example.com/figure-2.jpg ![x](http://example.com/fig_4.bmp) http://example.com/other.png"
+    assert rv.placed_of(text) == "<!-- DOC:FIGURE:p0001:f01 --> <!-- DOC:PAGE:0003 -->\n<!-- DOC:FIGURE:p0003:f02 --> <!-- DOC:FIGURE:p0003:f04 --> http://example.com/other.png"
+
+
+def test_text_files(spark, tmp_path):
+    from folioscope.sources.texts import read_texts
+
+    (tmp_path / "sub").mkdir()
+    for name, raw in {"a.md": "\ufeffé\r\n".encode(), "sub/b.md": "中文".encode("gb18030"), "c.md": b"", "d.md": b"ok \xff\xff\xff"}.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.encoding, r.mark, r.newline) for r in read_texts(spark, str(tmp_path)).collect()}
+    assert got == {"a.md": ("é\r\n", "utf-8-sig", "utf-8-sig", "\r\n"), "b.md": ("中文", "gb18030", "", "\n"), "d.md": ("ok \ufffd\ufffd\ufffd", "utf-8", "", "\n")}
+
+
+def test_experiments(spark, tmp_path):
+    import json
+    import os
+
+    from folioscope.sources.texts import experiments
+
+    (tmp_path / "x").mkdir()
+    write = lambda name, value: (tmp_path / name).write_text(value if isinstance(value, str) else json.dumps(value))
+    write("timings_r1.json", {"pdf": "/p/one.pdf", "run_id": "r1", "timings": {"total": 3, "recovery": {"attempted": 4, "accepted": 1, "accept_rate": 0.25}}, "odd": 1})
+    write("timings_r2.json", {"pdf": "/p/one.pdf", "run_id": "r2", "timings": {"total": 5.5}})
+    write("one.formula_qa.json", {"recovery_attempted_count": 8, "recovery_success_count": 2, "recovery_failed_count": 6})
+    write("x/alone.formula_qa.json", {"recovery_attempted_count": 0})
+    write("x/timings_bad.json", "{")
+    os.utime(tmp_path / "timings_r1.json", (1, 1))
+    rows = lambda **k: sorted((r.document, r.run_id, r.total, r.attempted, r.accepted, r.accept_rate) for r in experiments(spark, str(tmp_path), **k).collect())
+    assert rows() == [("alone", "", None, 0, None, None), ("one", "r1", 3.0, 4, 1, 0.25), ("one", "r2", 5.5, 8, 2, 0.25)]
+    assert rows(latest=True) == [("alone", "", None, 0, None, None), ("one", "r2", 5.5, 8, 2, 0.25)]
