@@ -260,17 +260,18 @@ def math_of(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, "display") for a, b in display] + found
 
 
-def spans(docs: DataFrame, find) -> DataFrame:
-    """doc_id, start, end, kind, content of what find sees in each text (null: nothing)."""
-    names = ["doc_id", "start", "end", "kind", "content"]
+def spans(docs: DataFrame, find, around: tuple[int, int] = (0, 0)) -> DataFrame:
+    """doc_id, start, end, kind, content of what find sees in each text (null: nothing), with the characters around it: before, after."""
+    schema = {"doc_id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "kind": pa.string(), "content": pa.string(), "before": pa.string(), "after": pa.string()}
+    left, right = around
 
     def run(batches):
         for batch in batches:
-            rows = [(i, a, b, kind, t[a:b]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b, kind in find(t or "")]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+            rows = [(i, a, b, kind, t[a:b], t[max(0, a - left) : a], t[b : b + right]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b, kind in find(t or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.values())], names=list(schema))
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, kind string, content string")
+    found = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, ", ".join(f"{n} {'long' if t == pa.int64() else 'string'}" for n, t in schema.items()))
+    return found if any(around) else found.drop("before", "after")
 
 
 FORMAT_ISSUES = (("latex_inline", re.compile(r"\\\(.*?\\\)", re.DOTALL)), ("latex_display", re.compile(r"\\\[.*?\\\]", re.DOTALL)), ("single_line_display", re.compile(r"\$\$[^\n$]*\$\$")))

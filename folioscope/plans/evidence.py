@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import evidence as ev
+from folioscope.operators import identity as idn
 from folioscope.operators import recovery as rv
 from folioscope.operators.sequential import _per_text
 from folioscope.plans.transcripts import transcripts
-from folioscope.sources.tables import load
+from folioscope.sources.tables import attempts, load
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +56,41 @@ _add(
 _add("k06_format_issues", lambda s, d: rv.spans(transcripts(s, d), rv.format_issues_of))
 _add("k08_text_issues", lambda s, d: rv.spans(transcripts(s, d), rv.text_issues_of))
 _add("l30_placed", lambda s, d: _per_text(transcripts(s, d), "text", rv.placed_of, "text", "string"))
+
+# ---- Identities and audits
+
+_TEXT = "concat('Value is defined by Eq. (', doc_id % 9, '): ', substr(text, 1, 60), ' see Equation (', doc_id % 7, 'a) and word Eqs (', doc_id % 5, ') end')"
+_add(
+    "k14_mentions",
+    lambda s, d: idn.mentions(load(s, d, "documents").select("doc_id", F.expr(_TEXT).alias("text"))).where("start < 40 or label rlike 'a$'").select("doc_id", "label", "kind"),
+    "SELECT doc_id, (doc_id % 9)::VARCHAR AS label, 'defining' AS kind FROM documents UNION ALL SELECT doc_id, (doc_id % 7) || 'a', 'reference' FROM documents",
+)
+
+
+def _identities(s, d):
+    rows = load(s, d, "lineitem")
+    at = F.expr("cast(l_partkey % 40 as int) * 60 + l_linenumber")
+    slots = rows.where("l_suppkey % 2 = 0").select(_c("l_orderkey").alias("doc"), at.alias("start"))
+    said = rows.where("l_suppkey % 2 = 1").groupBy(_c("l_orderkey").alias("doc"), at.alias("pos")).agg((F.min("l_suppkey") % 9).cast("string").alias("label"), F.when(F.min("l_partkey") % 3 > 0, "defining").otherwise("reference").alias("kind"))
+    printed = slots.where("start % 5 = 0").select("doc", "start", (_c("start") % 7).cast("string").alias("label"), F.lit(1.0).alias("score")).distinct()
+    return idn.identities(slots, said.withColumn("end", _c("pos") + 8), printed)
+
+
+_add("c04_identities", _identities)
+_RANKED = "user_id AS doc, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, event_id % 13 / 13.0::DOUBLE AS score, event_id % 3 = 0 AS accepted"
+_add(
+    "d26_ranking_errors",
+    lambda s, d: idn.ranking_errors(attempts(s, d).select("doc", "ord", (_c("event_id") % 13 / 13.0).alias("score"), (_c("event_id") % 3 == 0).alias("accepted"))),
+    f"WITH i AS (SELECT {_RANKED} FROM events), l AS (SELECT *, round(avg(score) FILTER (accepted AND ord >= 8) OVER (PARTITION BY doc), 4) AS late_score FROM i), g AS (SELECT doc, any_value(late_score) AS late_score, round(avg(score) FILTER (NOT accepted AND ord BETWEEN 2 AND 8), 4) AS early_rejected, count(*) FILTER (NOT accepted AND abs(score - late_score) < 0.08) AS same_tier, round(avg(score) FILTER (NOT accepted AND abs(score - late_score) < 0.08), 4) AS same_tier_score FROM l GROUP BY doc) SELECT *, coalesce(same_tier > 0 AND abs(late_score - same_tier_score) < 0.08, false) AS alike FROM g",
+)
+_AUDIT = "user_id AS doc, event_id % 4 = 0 AS accepted, CASE WHEN event_id % 5 = 0 THEN event_type END AS bucket, event_id % 10 = 5 AND event_id % 4 > 0 AS safe, CASE WHEN user_id % 3 = 0 OR event_id % 20 = 5 THEN 'insufficient' WHEN event_id % 7 = 0 THEN 'conflict' ELSE 'ok' END AS status, value AS seconds"
+_AUDITED = f"WITH i AS (SELECT {_AUDIT} FROM events), a AS (SELECT doc, count(*) AS attempts, count(bucket) AS missed, count(*) FILTER (safe) AS safe, round(coalesce(sum(seconds) FILTER (safe), 0), 3) AS safe_seconds, count(*) FILTER (status = 'conflict' AND NOT accepted) AS conflicts, count(*) FILTER (safe) >= 2 AND count(*) FILTER (safe AND status <> 'insufficient') = 0 AS advised FROM i GROUP BY doc) "
+
+
+def _audit(s, d):
+    kind = "case when user_id % 3 = 0 or event_id % 20 = 5 then 'insufficient' when event_id % 7 = 0 then 'conflict' else 'ok' end as status"
+    return idn.gate_audit(load(s, d, "events").selectExpr("user_id as doc", "event_id % 4 = 0 as accepted", "case when event_id % 5 = 0 then event_type end as bucket", "event_id % 10 = 5 and event_id % 4 > 0 as safe", kind, "value as seconds"))
+
+
+_add("d14_gate_audit", _audit, _AUDITED + "SELECT * FROM a")
+_add("d15_audit_total", lambda s, d: idn.audit_total(_audit(s, d)), _AUDITED + "SELECT count(*) AS scanned, count(*) FILTER (safe > 0) AS with_safe, sum(safe)::BIGINT AS safe_total, sum(safe) >= 2 AND count(*) FILTER (safe > 0) >= 1 AS advised FROM a")

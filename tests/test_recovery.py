@@ -92,3 +92,50 @@ def test_experiments(spark, tmp_path):
     rows = lambda **k: sorted((r.document, r.run_id, r.total, r.attempted, r.accepted, r.accept_rate) for r in experiments(spark, str(tmp_path), **k).collect())
     assert rows() == [("alone", "", None, 0, None, None), ("one", "r1", 3.0, 4, 1, 0.25), ("one", "r2", 5.5, 8, 2, 0.25)]
     assert rows(latest=True) == [("alone", "", None, 0, None, None), ("one", "r2", 5.5, 8, 2, 0.25)]
+
+
+def plain_identities(slots, said, printed):
+    """One document: the same rules, read one after the other."""
+    slots, scores, order = sorted(set(slots)), {}, {}
+    for start, label, score in sorted(printed):
+        if start in slots:
+            order.setdefault(label, len(order))
+            scores[start, label] = max(scores.get((start, label), (0, 0)), (score, 0))
+    defining = sorted(x for x in said if x[3] == "defining")
+    clusters = []
+    for m in defining:
+        last = clusters[-1][-1] if clusters else None
+        if last and m[0] - last[0] < 120 and not any(last[1] < s < m[0] for s in slots):
+            clusters[-1].append(m)
+        else:
+            clusters.append([m])
+    for cluster in clusters:
+        after = [s for s in slots if s > cluster[-1][1]]
+        for s, (_, end, label, _) in zip(after, cluster):
+            score = 0.93 if len(cluster) > 1 or s - end < 200 else 0.85 if s - end <= 1200 else None
+            if score:
+                order.setdefault(label, len(order))
+                scores[s, label] = max(scores.get((s, label), (0, 0)), (score, 1))
+    out, used = {}, set()
+    for (s, label), (score, _) in sorted(scores.items(), key=lambda x: (-x[1][0], x[0][0], order[x[0][1]])):
+        if score >= 0.75 and s not in out and label not in used:
+            out[s] = label
+            used.add(label)
+    return out
+
+
+def test_identities_against_plain_rules(spark):
+    from folioscope.operators.identity import identities
+
+    rnd, slots, said, printed, want = random.Random(3), [], [], [], set()
+    for doc in range(60):
+        own = [rnd.randrange(3000) for _ in range(rnd.randrange(8))]
+        spoken = [(p, p + 8, str(rnd.randrange(6)), rnd.choice(["defining", "defining", "reference"])) for p in rnd.sample(range(0, 3000, 10), rnd.randrange(9))]
+        seen = [(s, str(rnd.randrange(6)), rnd.choice([0.7, 0.9, 1.0])) for s in set(own) if rnd.random() < 0.4]
+        slots += [(doc, s) for s in own]
+        said += [(doc, *m) for m in spoken]
+        printed += [(doc, *p) for p in seen]
+        want |= {(doc, s, label) for s, label in plain_identities(own, spoken, seen).items()}
+    frame = spark.createDataFrame
+    got = identities(frame(slots, "doc long, start long"), frame(said, "doc long, pos long, end long, label string, kind string"), frame(printed, "doc long, start long, label string, score double"))
+    assert {(r.doc, r.start, r.label) for r in got.collect()} == want and len(want) > 40
