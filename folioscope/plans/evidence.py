@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import evidence as ev
+from folioscope.functions import vocabulary as vc
 from folioscope.operators import identity as idn
 from folioscope.operators import recovery as rv
 from folioscope.operators.sequential import _per_text
@@ -94,3 +95,19 @@ def _audit(s, d):
 
 _add("d14_gate_audit", _audit, _AUDITED + "SELECT * FROM a")
 _add("d15_audit_total", lambda s, d: idn.audit_total(_audit(s, d)), _AUDITED + "SELECT count(*) AS scanned, count(*) FILTER (safe > 0) AS with_safe, sum(safe)::BIGINT AS safe_total, sum(safe) >= 2 AND count(*) FILTER (safe > 0) >= 1 AS advised FROM a")
+
+# ---- Vocabulary
+
+_joined = lambda c: F.array_join(F.array_sort(c), ",")
+_by_case("h31_math_tokens", [("\\frac{TP}{TP+FN} ε", "epsilon,fn,frac,tp"), ("the true positive rate, ROC-AUC", "auc,roc,tp"), ("F_{1} score", "f1"), ("", ""), ("Bias and var", "bias,var")], lambda t: _joined(vc.math_tokens(t)))
+_by_case("h32_symbols", [("R(t;H) + H_{lc}", "h,lc,r,t"), ("\\mathcal{F} \\pi \\frac", "f,pi"), ("a Markov chain", "r"), ("word", ""), ("", "")], lambda t: _joined(vc.symbols(t)))
+_by_case("h35_consistency", [
+    ("recall is", "TP / (TP + FN)", "0.25 "), ("recall is", "recall = x", "1.0 "), ("recall of", "macro = 3", "0.25 "), ("the mse", "\\omega", "0.0 ocr_context_conflict"), ("the mse", "\\varepsilon^2", "0.25 "), ("recall", "", "0.35 ocr_context_insufficient"),
+    ("Markov", "H_{lc}", "0.32 symbol_signature_support"), ("recall", "markov 3", "0.0 ocr_context_conflict"), ("word", "TP 3", "0.4 ocr_context_insufficient"), ("let x = 1", "x = 2", "1.0 symbol_signature_support"), ("plain", "1 + 2", "1.0 "),
+], lambda a, b: F.concat_ws(" ", vc.consistency(a, b)["overlap"].cast("string"), vc.consistency(a, b)["reason"]))
+_by_case("b63_formula_tags", [("\\frac{1}{2}\\sum", "fraction,sum_prod_int"), ("\\begin{cases}\\mathbb{R}", "cases_or_array,fonts"), ("中 \\int", "sum_prod_int,text_or_zh"), ("x", "other"), ("x" * 121, "long")], lambda t: F.array_join(vc.formula_tags(t), ","))
+_by_case("h78_scrapped", [("\n".join("αx=12+b(c)y"), "true"), ("\n".join("αx=12+b(c)"), "true"), ("\n".join("αx=12+b(c"), "false"), ("$$x$$\n" + "\n".join("αx=12+b(c)y"), "false"), ("a longer line here\n" * 12, "false"), ("", "false")], lambda t: vc.scrapped(t).cast("string"))
+_by_case("h83_undefined_commands", [("\\frac\\foo\\bar\\foo", "foo,bar"), ("a \\\\ab \\frac", ""), ("", "")], lambda t: F.array_join(vc.undefined_commands(t, F.array(F.lit("frac"))), ","))
+_by_case("h38_display_number", [("x = 1 (1 2)", "12"), ("p(0)", ""), ("a (3) \\\\ b", "3"), ("a (4) & b (5)", "4"), ("", "")], vc.display_number)
+_by_case("h22_id_page", [("page7_eq6", "7"), ("x", "-"), ("Page-12", "12")], lambda t: F.coalesce(vc.id_page(t, F.lit(None)).cast("string"), F.lit("-")))
+_by_case("l34_fallback_markup", [("a,b,c,d", "lost: {reason}", "lost: a,b,c"), ("", " ", vc.VISIBLE % "recovery_failed"), ("x", "gone", "gone")], lambda i, p: vc.fallback_markup(F.filter(F.split(i, ","), lambda x: x != ""), p))
