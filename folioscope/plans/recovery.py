@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions import layout as ly
+from folioscope.operators import clusters as cl
 from folioscope.operators import recovery as rv
 from folioscope.plans.transcripts import _SRC as _TRANSCRIPTS
 from folioscope.plans.transcripts import transcripts
@@ -187,6 +188,15 @@ _add("i14_column_bounds", lambda s, d: rv.column_bounds(_lines(s, d)), _BOXES +
 _add("i18_band_lines", lambda s, d: rv.band_lines(_lines(s, d), rv.column_bounds(_lines(s, d))), _BOXES + _COLUMNS + """SELECT l.doc_id, l.page, ord FROM l JOIN c USING (doc_id, page) WHERE y1 >= seed1 - 10 AND y0 <= seed3 + 10 AND x1 >= "left" - 1 AND x0 <= "right" + 1 AND text NOT IN ('SECTION 2', 'word') AND text NOT LIKE 'one%'""")
 
 
+def _clusters(s, d):
+    rows = _lines(s, d)
+    first = rows.where(ly.line_number(_c("text")) != "").groupBy("doc_id", "page").agg(F.min("ord").alias("_t"))
+    return cl.clusters(rows.join(rv.column_bounds(rows), ["doc_id", "page"]).join(first, ["doc_id", "page"]).withColumn("target", _c("ord") == _c("_t")))
+
+
+_add("i16_clusters", _clusters)
+
+
 def _tags(s, d):
     box = lambda x, y, w, h: F.struct(x.cast("double").alias("x0"), y.cast("double").alias("y0"), (x + w).cast("double").alias("x1"), (y + h).cast("double").alias("y1"))
     p = load(s, d, "part")

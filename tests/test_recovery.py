@@ -139,3 +139,15 @@ def test_identities_against_plain_rules(spark):
     frame = spark.createDataFrame
     got = identities(frame(slots, "doc long, start long"), frame(said, "doc long, pos long, end long, label string, kind string"), frame(printed, "doc long, start long, label string, score double"))
     assert {(r.doc, r.start, r.label) for r in got.collect()} == want and len(want) > 40
+
+
+def test_clusters(spark):
+    from folioscope.operators.clusters import clusters
+
+    lines = [
+        (0, "x = y", 100.0, 100.0, 200.0, 112.0), (1, "+ z (3)", 100.0, 120.0, 300.0, 132.0), (2, "a = b (4)", 100.0, 180.0, 300.0, 192.0), (3, "+ c", 100.0, 160.0, 160.0, 172.0),
+        (4, "this is prose that goes on and on for many more words", 100.0, 136.0, 300.0, 148.0), (5, "word", 40.0, 121.0, 90.0, 131.0), (6, "q = 1", 500.0, 120.0, 560.0, 132.0), (7, None, 100.0, 90.0, 110.0, 95.0),
+    ]
+    rows = [(1, 1, o, t, *box, 30.0, 400.0, 100.0, 300.0, o == 1) for o, t, *box in lines] + [(2, 1, 0, "x = y", 0.0, 0.0, 9.0, 9.0, 0.0, 9.0, 0.0, 9.0, None)]
+    frame = spark.createDataFrame(rows, "doc_id int, page int, ord int, text string, x0 double, y0 double, x1 double, y1 double, left double, right double, seed0 double, seed2 double, target boolean")
+    assert sorted(tuple(r) for r in clusters(frame).collect()) == [(1, 1, 0), (1, 1, 1), (1, 1, 5)]
