@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm import near_copies
 from folioscope.llm.common import components, parts, stored
 
 SEED = 42
@@ -157,11 +158,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row of the smallest doc_id stays, once.
-
-    Rows without a doc_id can't be told apart; they stay, as no group's smallest.
-    """
-    first = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near-duplicates by the rule for stages: shingles of ``width`` words, Jaccard similarity at least ``similarity``."""
+    return near_copies.keep_one(docs, width, similarity)
