@@ -1,12 +1,14 @@
 """License scans by conditional compression.
 
 Candidate blocks are runs of lines that hold a cue word. Each block is compressed alone and with every template as a
-zstandard raw-content dictionary; what a template saves, as a share of the block's size alone, ranks the templates. The
-first in rank whose wording the block really holds wins: the template's words must all occur in the block in order,
-with at most ``slack`` of them missing, none of its distinctive words (names, numbers) among these; the exact missing
-and inserted words are reported. Blocks over ``window`` characters are read by overlapping windows, so a long text is
-scanned whole. Defined results: null and empty texts hold no block; a block that no template explains counts as a
-candidate without a license; repeated rows give repeated rows.
+zstandard raw-content dictionary; what a template saves, as a share of the block's size alone, ranks the templates and
+drops none. A template is confirmed wherever the block really holds its wording: at the best local alignment its words
+occur in order, with at most ``slack`` of them missing and as many inserted, none of its distinctive words (names,
+numbers) missing; the exact missing and inserted words are reported. Of confirmed templates whose words overlap the
+closest wins, the longer and the higher ranked of equals; all others stand. Blocks over ``window`` characters are read by
+overlapping windows, so a long text is scanned whole. Defined results: null and empty texts hold no block; a window that
+no template explains is one candidate without a license, one with several notices has a span for each; repeated rows
+give repeated rows.
 """
 
 from __future__ import annotations
@@ -83,9 +85,37 @@ def differences(want: list[str], have: list[str]) -> tuple[list[str], int]:
     return missing, (places[-1] - places[0] + 1 - len(places) if places else 0)
 
 
+def aligned(want: list[str], have: list[str], marked: set[str], most: float) -> list[tuple[int, int, list[str], int]]:
+    """(start, end, missing words, inserted words) of want in have, the best around each occurrence of a distinctive word.
+
+    Without distinctive words, around the rarest of all: of one word more than may be missing, one at least is there.
+    """
+    n, slack, out = len(want), int(most), {}
+    rare = sorted(marked or set(want), key=lambda x: (have.count(x), x))
+    for w in rare[: 1 if marked else slack + 1]:
+        q = want.index(w)
+        for p in (p for p, x in enumerate(have) if x == w):
+            if p >= q and have[p - q : p - q + n] == want:
+                out[p - q] = (p - q, p - q + n, [], 0)
+                continue
+            found = None
+            for at in range(max(0, p - q - slack), p + 1):
+                if have[at] not in want[: slack + 1]:
+                    continue
+                for end in range(max(p, at + n - slack - 1) + 1, min(len(have), at + n + slack) + 1):
+                    missing, inserted = differences(want, have[at:end])
+                    if len(missing) <= most and inserted <= most and not marked & set(missing):
+                        key = (len(missing) + inserted, end - at)
+                        if found is None or key < found[0]:
+                            found = (key, (at, end, missing, inserted))
+            if found:
+                out.setdefault(found[1][0], found[1])
+    return list(out.values())
+
+
 class Scanner:
-    def __init__(self, templates: dict[str, tuple[str, ...]], slack: float, saving: float, window: int):
-        self.slack, self.saving, self.window = slack, saving, window
+    def __init__(self, templates: dict[str, tuple[str, ...]], slack: float, window: int):
+        self.slack, self.window = slack, window
         self.alone = zstandard.ZstdCompressor(level=9)
         self.each = []
         for name in sorted(templates):
@@ -95,28 +125,26 @@ class Scanner:
                 self.each.append((name, zstandard.ZstdCompressor(level=9, dict_data=given), need, {w for w in need if w not in _COMMON}))
 
     def rank(self, block: str) -> list[tuple[float, int]]:
-        """(share saved, template) of those that save enough, best first; ties to the earlier name."""
+        """(share saved, template), best first; ties to the earlier name."""
         data = block.lower().encode("utf-8", "replace")
         size = len(self.alone.compress(data))
         saved = [(1 - len(c.compress(data)) / size, i) for i, (_, c, _, _) in enumerate(self.each)]
-        return sorted(((s, i) for s, i in saved if s >= self.saving), key=lambda x: (-x[0], x[1]))
+        return sorted(saved, key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, block: str):
-        """(license, share saved, missing words, inserted words) of the winner, or None."""
+    def confirm(self, block: str) -> list[tuple[str, float, list[str], int]]:
+        """(license, share saved, missing words, inserted words) of each notice, in order."""
         have = words(block)
-        best = None
-        for saved, i in self.rank(block):
+        there, found = set(have), []
+        for rank, (saved, i) in enumerate(self.rank(block)):
             name, _, need, marked = self.each[i]
-            if not marked <= set(have):
-                continue
-            missing, inserted = differences(need, have)
-            if len(missing) <= self.slack * len(need) and inserted <= self.slack * len(need) and not marked & set(missing):
-                key = (len(missing) + inserted, -len(need), -saved, name)
-                if best is None or key < best[0]:
-                    best = (key, (name, saved, missing, inserted))
-                if not missing and not inserted:
-                    break
-        return best and best[1]
+            if marked <= there:
+                for start, end, missing, inserted in aligned(need, have, marked, self.slack * len(need)):
+                    found.append(((len(missing) + inserted, -len(need), rank, start), (start, end, name, saved, missing, inserted)))
+        taken: list[tuple] = []
+        for _, x in sorted(found, key=lambda f: f[0]):
+            if all(x[1] <= t[0] or t[1] <= x[0] for t in taken):
+                taken.append(x)
+        return [x[2:] for x in sorted(taken, key=lambda t: t[0])]
 
     def blocks(self, text: str):
         """(start, end) of runs of lines with a cue."""
@@ -134,37 +162,36 @@ class Scanner:
             yield start, at
 
     def scan(self, text: str | None) -> list[tuple[int, int, str | None, float, list[str], int]]:
-        """(start, end, license or None, share saved, missing, inserted) of each window of each block."""
+        """(start, end, license or None, share saved, missing, inserted) of each notice of each window of each block."""
         out = []
         for start, end in self.blocks(text or ""):
             step = self.window // 2
             for low in range(start, max(start + 1, end - step), step):
                 high = min(low + self.window, end)
-                found = self.confirm(text[low:high])
-                out.append((low, high, *(found or (None, 0.0, [], 0))))
+                out += [(low, high, *x) for x in self.confirm(text[low:high]) or [(None, 0.0, [], 0)]]
         return out
 
 
 @lru_cache(maxsize=1)
-def _scanner(slack: float, saving: float, window: int) -> Scanner:
-    return Scanner(TEMPLATES, slack, saving, window)
+def _scanner(slack: float, window: int) -> Scanner:
+    return Scanner(TEMPLATES, slack, window)
 
 
 _SPAN = "array<struct<start:long,end:long,license:string,saved:double,missing:array<string>,inserted:long>>"
 
 
-def scan(docs: DataFrame, slack: float = 0.1, saving: float = 0.15, window: int = 1000) -> DataFrame:
+def scan(docs: DataFrame, slack: float = 0.1, window: int = 1000) -> DataFrame:
     """doc_id, licenses (sorted identifiers), n_candidates, spans of each row."""
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("saved", pa.float64()), ("missing", pa.list_(pa.string())), ("inserted", pa.int64())])
 
     def run(batches):
-        scanner = _scanner(slack, saving, window)
+        scanner = _scanner(slack, window)
         for batch in batches:
             found = [scanner.scan(t.as_py()) for t in batch.column(1)]
             names = [sorted({x[2] for x in f if x[2]}) for f in found]
             rows = [[dict(zip(("start", "end", "license", "saved", "missing", "inserted"), x)) for x in f] for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array([len(f) for f in found], pa.int64()), pa.array(rows, pa.list_(span))], names=["doc_id", "licenses", "n_candidates", "spans"]
+                [batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array([len({x[:2] for x in f}) for f in found], pa.int64()), pa.array(rows, pa.list_(span))], names=["doc_id", "licenses", "n_candidates", "spans"]
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, licenses array<string>, n_candidates long, spans {_SPAN}")
