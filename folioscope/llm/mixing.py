@@ -6,10 +6,13 @@ document as many whole times as its target holds its size; for the rest of its t
 length, each length gives its proportional share, and a bounded-knapsack program over the lengths' remaining counts
 fills what is left to the word where lengths allow. Which documents of a length are taken is decided by a seeded hash.
 
-Only the counts by length reach one task a source; documents stay distributed. A length shared by very many documents
-is ranked in 64 hash ranges, never in one task. Defined results: null text has size 0; a null source is a source of its
-own, last; documents of size 0 are taken 0 words; a source of size 0 has target 0; repeated rows count each (equal rows
-are interchangeable); an empty table gives an empty result.
+Only the counts by length reach one task a source; documents stay distributed. Of a length the documents of smallest
+hash (of seed, doc_id and text, as an unsigned number) are taken: the hash at which to stop is found from ranges of
+hashes, their number in proportion to the length's documents, so no task ranks a hot length alone, and texts travel only
+to meet the plan, a row a source and length. Defined results: null text has size 0; a null source is a source of its
+own, last; documents of size 0 are taken 0 words; a source of size 0 has target 0; rows of one doc_id and text are
+interchangeable and counted each; texts are read whole; columns of docs named like the new ones are replaced; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,16 +27,14 @@ from folioscope.llm.common import WORD, stored
 WEIGHTS = (3, 1, 2)
 #: Words of the remaining budget that the knapsack program spans.
 SPAN = 1 << 16
-#: Hash ranges in which a length's documents are ranked.
-RANGES = 64
-#: A length with more documents than this is ranked by ranges.
-RANKED = 256
+#: Documents of a range, on average, where a length's documents are ranked by ranges of their hash.
+RANGE_ROWS = 256
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    )
+def _sized(docs: DataFrame, seed: int) -> list[F.Column]:
+    """source, size and k, the hash by which documents are taken: in the signed order of k, the unsigned order of the hash."""
+    key = F.xxhash64(F.lit(seed), docs["doc_id"].cast("long"), docs["text"]).bitwiseXOR(F.lit(-(1 << 63)))
+    return [docs["source"].cast("string").alias("source"), F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("k")]
 
 
 def targets(sized: DataFrame, ratio: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -114,30 +115,42 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "n": pdf["n"], "whole": whole, "chosen": chosen, "source_size": pdf["source_size"], "target": pdf["target"]})
 
 
+def _cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, size, cut, left, ties): the hash of the last document to take of a length that is taken in part, how many of that hash to take, and of how many."""
+    some = plan.where("chosen > 0 and chosen < n").select("source", "size", "n", "chosen")
+    bits = F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.col("n") / RANGE_ROWS)))).cast("int").alias("bits")
+    rows = sized.alias("d").join(some.select("*", bits).alias("p"), _same("d", "p") & (F.col("d.size") == F.col("p.size"))).select("p.*", "d.k")
+    rows = rows.withColumn("r", F.expr("if(bits = 0, 0L, shiftrightunsigned(k ^ (-9223372036854775807L - 1), 64 - bits))"))
+    by = ["source", "size", "chosen", "r"]
+    ranges = rows.groupBy(*by).agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(Window.partitionBy("source", "size").orderBy("r")))
+    last = ranges.where("upto >= chosen and upto - m < chosen").select("source", "size", "r", (F.col("chosen") - F.col("upto") + F.col("m")).alias("need"))
+    inside = rows.alias("d").join(last.alias("p"), _same("d", "p") & (F.col("d.size") == F.col("p.size")) & (F.col("d.r") == F.col("p.r"))).groupBy("p.source", "p.size", "p.need", "d.k").agg(F.count("*").alias("ties"))
+    inside = inside.withColumn("upto", F.sum("ties").over(Window.partitionBy("source", "size").orderBy("k")))
+    return inside.where("upto >= need and upto - ties < need").select("source", "size", F.col("k").alias("cut"), (F.col("need") - F.col("upto") + F.col("ties")).alias("left"), "ties")
+
+
+def _same(a: str, b: str) -> F.Column:
+    return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+
+
 def mix(docs: DataFrame, seed: int = 20_260, ratio: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words, repeats counted) of each row."""
-    sized = stored(sizes(docs))
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    """docs with size, source_size, target and taken (words, repeats counted) of each row."""
+    sized = stored(docs.select(*_sized(docs, seed)))
     lengths = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     goal = targets(sized, ratio, most)
-    lengths = lengths.alias("l").join(goal.alias("g"), same("l", "g")).select("l.*", "g.source_size", "g.target")
+    lengths = lengths.alias("l").join(goal.alias("g"), _same("l", "g")).select("l.*", "g.source_size", "g.target")
     plan = stored(lengths.groupBy("source").applyInPandas(_plan, "source string, size long, n long, whole int, chosen long, source_size long, target double"))
-
-    key = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))
-    dealt = (
-        sized.alias("d")
-        .join(plan.alias("p"), same("d", "p") & (F.col("d.size") == F.col("p.size")))
-        .select("d.doc_id", "d.size", "p.source", "p.source_size", "p.target", "p.whole", "p.chosen", "p.n", key.alias("k"))
-    )
-    range_ = F.when(F.col("n") > RANKED, F.shiftrightunsigned(F.col("k"), 58)).otherwise(0).cast("int")
-    dealt = dealt.withColumn("r", range_)
-    some = dealt.where("chosen > 0 and chosen < n")
-    ahead = some.groupBy("source", "size", "r").agg(F.count("*").alias("m"))
-    ahead = ahead.withColumn("ahead", F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m")
-    # ranges are in the unsigned order of the hash; inside one, its signed order agrees
-    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "r").orderBy("k", "doc_id")))
-    some = some.alias("s").join(ahead.alias("a"), same("s", "a") & (F.col("s.size") == F.col("a.size")) & (F.col("s.r") == F.col("a.r"))).select("s.*", "a.ahead")
-    some = some.withColumn("extra", (F.col("rank") + F.col("ahead") <= F.col("chosen")).cast("int"))
-    rest = dealt.where("not (chosen > 0 and chosen < n)").withColumn("extra", (F.col("chosen") > 0).cast("int"))
-    columns = ["doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("extra")) * F.col("size")).alias("taken")]
-    return some.select(*columns).union(rest.select(*columns))
+    cuts = stored(_cuts(sized, plan))
+    full = stored(plan.alias("l").join(cuts.alias("g"), _same("l", "g") & (F.col("l.size") == F.col("g.size")), "left").select("l.*", "g.cut", "g.left", "g.ties"))
+
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *_sized(docs, seed))
+    rows = rows.alias("d").join(full.alias("p"), _same("d", "p") & (F.col("d.size") == F.col("p.size"))).select("d.row", "d.k", "p.*")
+    tied = F.coalesce((F.col("k") == F.col("cut")) & (F.col("left") < F.col("ties")), F.lit(False))
+    extra = F.when(F.col("chosen") == F.col("n"), 1).when(F.col("k") <= F.col("cut"), 1).otherwise(0)
+    if cuts.where("left < ties").isEmpty():
+        rows = rows.withColumn("extra", extra)
+    else:  # equal rows, of which some are taken
+        rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("k"))
+        rows = rows.where(~tied).withColumn("extra", extra).unionByName(rows.where(tied).withColumn("extra", (rank <= F.col("left")).cast("int")))
+    new = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": (F.col("whole") + F.col("extra")) * F.col("size")}
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new], *[v.alias(c) for c, v in new.items()])

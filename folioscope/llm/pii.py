@@ -4,15 +4,20 @@ Base: e-mail addresses, IP addresses, card numbers and phone numbers, leftmost a
 expressions are written so that no text makes them quadratic: a start is tried only where a run begins or the last
 match ended.
 
-Method: every value found is a protected entity e; the words within ``reach`` characters of it are terms that may
-disclose it. Over the whole corpus, with N rows, p(e) = rows that hold e / N and p(e|t) = rows that hold t near e / rows
-that hold t, a term discloses the share 1 + log p(e|t) / -log p(e) of e's information (its pointwise mutual information
-with e over e's own). A term that discloses ``share`` or more of an entity, near it in at least ``least`` different
-contexts, is a span of kind "term" wherever it stands; copies of one passage are one context, so a passage's own words
-are left alone. Sanitising puts the kind's name for base spans (generalised) and "[TERM]" for terms.
-
-Defined results: null text is empty; rows are told apart by their text, so repeated rows and null ids do no harm; spans
-are in code points, end exclusive; an entity that is in every row has no information to disclose.
+Method: protected entities are the values found and, so that a person's addresses at several hosts count together, the
+letters of an e-mail address before the @. The whole words within ``reach`` characters of an entity are terms that may
+disclose it, and so are the words of an address that stand anywhere else in its text. Over the whole corpus, with N
+rows, p(e) = rows that hold e / N and p(e|t) = rows that hold t with e / rows that hold t, a term discloses the share
+1 + log p(e|t) / -log p(e) of e's information (its pointwise mutual information with e over e's own). A term that
+discloses ``share`` or more of an entity and goes with it in ``least`` different texts, or in one text if it is a word of
+the entity itself, is a span of kind "term" wherever it stands. Sanitising puts the kind's name for base spans
+(generalised) and "[TERM]" for terms.
+
+Defined results: null text is empty; a null id is an id like any other; repeated rows give repeated rows, count as rows
+in the probabilities and as one text in the support; texts of any length are read whole, in linear time; a term that
+reaches ``share`` exactly is disclosing (ties need no order); an entity that is in every row has no information to
+disclose; an empty table gives an empty result; columns of docs may have any name. Spans are in code points, end
+exclusive; a term that overlaps a base span is left to it.
 """
 
 from __future__ import annotations
@@ -32,153 +37,168 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_CHEAP = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike("[0-9]{2}|[0-9][ -][0-9]"), "phone": lambda t: t.contains("+")}
+_CHEAP = {"email": "contains({}, '@')", "ip": r"rlike({}, r'[0-9]\.[0-9]')", "card": "rlike({}, '[0-9]{{2}}|[0-9][ -][0-9]')", "phone": "contains({}, '+')"}
+_WORD = r"[\p{L}\p{N}]"
 #: A word that may disclose something.
-TERM = r"\p{L}{3,}+"
-
-
-def _luhn(digits: F.Column) -> F.Column:
-    doubled = lambda x, i: F.when(i % 2 == 1, x * 2 - F.when(x > 4, 9).otherwise(0)).otherwise(x)
-    each = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: c != ""), lambda c, i: doubled(c.cast("int"), i))
-    return F.aggregate(each, F.lit(0), lambda s, x: s + x) % 10 == 0
+TERM = rf"{_WORD}{{2,}}+"
+_SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
+#: Expressions are written as SQL: built call by call they take seconds of the driver.
 _VALID = {
-    "email": lambda v: F.lit(True),
-    "ip": lambda v: v.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"),
-    "card": lambda v: _luhn(F.regexp_replace(v, "[^0-9]", "")),
-    "phone": lambda v: F.length(F.regexp_replace(v, "[^0-9]", "")).between(8, 15),
+    "email": "true",
+    "ip": rf"rlike(x.value, r'^{_OCTET}(?:\.{_OCTET}){{3}}$')",
+    "card": "aggregate(transform(filter(split(reverse(regexp_replace(x.value, '[^0-9]', '')), ''), c -> c <> ''), (c, i) -> int(c) * (1 + i % 2) - if(i % 2 = 1 and c > '4', 9, 0)), 0, (s, y) -> s + y) % 10 = 0",
+    "phone": "length(regexp_replace(x.value, '[^0-9]', '')) between 8 and 15",
 }
+_TYPED = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def _bound(value: F.Column, body) -> F.Column:
-    """body(value) with value evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _bound(value: str, name: str, body: str) -> str:
+    """body with value evaluated once, as name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _scan(numbers: F.Column, join) -> F.Column:
-    """Running join (sum or maximum) over an array, in a logarithmic number of linear passes."""
-    for k in range(24):
-        w = 1 << k
-        numbers = _bound(numbers, lambda a: F.when(F.size(a) <= w, a).otherwise(F.transform(a, lambda x, i: F.when(i >= w, join(x, F.get(a, i - w))).otherwise(x))))
+def _scan(numbers: str, join) -> str:
+    """Running join (n-ary sum or maximum) over an array: linear passes, each reaching eight times as far; 10 reach any array that a text can fill."""
+    for k in range(10):
+        a, w = f"a{k}", 1 << 3 * k
+        more = join(*[f"get({a}, i - {j * w})" for j in range(1, 8)])
+        numbers = _bound(numbers, a, f"case when size({a}) <= {w} then {a} else transform({a}, (x, i) -> {more}) end")
     return numbers
 
 
-def matches(text: F.Column, pattern: str) -> F.Column:
-    """array<struct<value, start, end>> of the leftmost non-overlapping matches; code points, end exclusive."""
-    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("gap"))
+def _sum(*more: str) -> str:
+    return " + ".join(["x", *[f"coalesce({y}, 0)" for y in more]])
+
+
+def _most(*more: str) -> str:
+    return f"greatest(x, {', '.join(more)})"
 
-    def placed(p):
-        steps = F.transform(p, lambda x, i: x["gap"] + F.when(i > 0, F.length(F.get(p, i - 1)["value"])).otherwise(0))
-        starts = _scan(steps, lambda x, y: x + y)
-        spans = F.zip_with(p, starts, lambda x, s: F.struct(x["value"].alias("value"), s.alias("start"), (s + F.length(x["value"])).alias("end")))
-        return F.filter(spans, lambda x: x["value"].isNotNull())
 
-    return _bound(zipped, placed)
+def matches(text: str, pattern: str) -> str:
+    """array<struct<value, start, end>> of the leftmost non-overlapping matches in a column; code points, end exclusive."""
+    zipped = f"zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0), (g, v) -> named_struct('gap', length(g), 'value', v))"
+    steps = "transform(p, (x, i) -> x.gap + if(i > 0, length(get(p, i - 1).value), 0))"
+    spans = f"zip_with(p, {_scan(steps, _sum)}, (x, s) -> named_struct('value', x.value, 'start', s, 'end', s + length(x.value)))"
+    return _bound(zipped, "p", f"filter({spans}, x -> x.value is not null)")
 
 
-def base_spans(text: F.Column, reach: int = 64) -> F.Column:
-    """array<struct<kind, start, end, value, before, after>> of the base kinds, by kind, then start."""
+def base_spans(text: str) -> F.Column:
+    """array<struct<kind, start, end, value>> of the base kinds in a column, by kind, then start."""
     found = []
     for kind in KINDS:
-        spans = F.filter(matches(text, PATTERNS[kind]), lambda x: _VALID[kind](x["value"]))
-        full = F.transform(
-            spans,
-            lambda x: F.struct(
-                F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
-                F.substring(text, F.greatest(x["start"] - reach, F.lit(0)) + 1, F.least(x["start"], F.lit(reach))).alias("before"),
-                F.substring(text, x["end"] + 1, F.lit(reach)).alias("after"),
-            ),
-        )
-        found.append(F.when(_CHEAP[kind](text), full).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>")))
-    return F.concat(*found)
+        spans = f"transform(filter({matches(text, PATTERNS[kind])}, x -> {_VALID[kind]}), x -> named_struct('kind', '{kind}', 'start', x.start, 'end', x.end, 'value', x.value))"
+        found.append(f"case when {_CHEAP[kind].format(text)} then {spans} else cast(array() as {_TYPED}) end")
+    return F.expr(f"concat({', '.join(found)})")
 
 
 def _terms(text: F.Column) -> F.Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
 
 
-def _scanned(docs: DataFrame, reach: int) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("key"), base_spans(text, reach).alias("base")))
-
-
-def disclosing(docs: DataFrame, scanned: DataFrame, share: float = 0.8, least: int = 3) -> DataFrame:
-    """The disclosing terms (term).
-
-    A term's rows near any entity are a lower bound of those that hold it at all, so most terms are settled without the
-    corpus counts, which are made for all words before they meet the rest.
-    """
-    seen = scanned.where("size(base) > 0").select("key", F.explode("base").alias("b"))
-    holds = seen.select("key", F.concat_ws(":", "b.kind", F.lower("b.value")).alias("entity"), "b.before", "b.after")
-    near = holds.select("key", "entity", F.xxhash64("before", "after").alias("context"), F.explode(_terms(F.concat_ws("\n", "before", "after"))).alias("term"))
-    contexts = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= least)
-    rows = scanned.where("size(base) > 0").groupBy("key").agg(F.count("*").alias("rows"))
-    both = near.select("key", "entity", "term").distinct().join(contexts, ["entity", "term"]).join(rows, "key").groupBy("entity", "term").agg(F.sum("rows").alias("both"))
-    entities = holds.select("key", "entity").distinct().join(rows, "key").groupBy("entity").agg(F.sum("rows").alias("e"))
-    anywhere = near.select("key", "term").distinct().join(rows, "key").groupBy("term").agg(F.sum("rows").alias("bound"))
-    n = scanned.count()
-    disclosed = lambda t: 1 + F.log(F.col("both") / F.col(t)) / F.log(F.lit(float(n)) / F.col("e"))
-    likely = stored(both.join(entities, "entity").where(F.col("e") < n).join(anywhere, "term").where(disclosed("bound") >= share).select("term", "both", "e"))
-    # rows, not different texts: the whole corpus counts
-    sizes = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("t"))
-    return stored(likely.join(sizes, "term").where(disclosed("t") >= share).select("term").distinct())
-
-
-def _term_spans(docs: DataFrame, risky: DataFrame) -> DataFrame:
-    """(key, terms: array<struct<start, end>>): where disclosing terms stand, by start."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.select(F.sha2(text, 256).alias("key"), F.explode(_terms(text)).alias("term"))
-    # at most a text's own words in a list
-    lists = stored(words.join(risky, "term").groupBy("key").agg(F.collect_set("term").alias("risky")))
-    texts = docs.select(text.alias("text")).withColumn("key", F.sha2("text", 256)).join(lists, "key")
-    found = F.filter(matches(F.col("text"), TERM), lambda x: F.array_contains("risky", F.lower(x["value"])))
-    spans = texts.select("key", F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("terms"))
-    return spans.groupBy("key").agg(F.max("terms").alias("terms"))
-
-
-def find(docs: DataFrame, reach: int = 64, share: float = 0.8, least: int = 3) -> DataFrame:
-    """doc_id, key (sha256 of the text), base and all spans (array<struct<kind, start, end>>) of each row."""
-    scanned = _scanned(docs, reach)
-    terms = _term_spans(docs, disclosing(docs, scanned, share, least))
-    plain = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    named = F.transform(F.coalesce("terms", F.array()), lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    free = F.filter(named, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return scanned.join(terms, "key", "left").select("doc_id", "key", plain.alias("base"), F.concat(plain, free).alias("spans"))
-
-
-def _joined(spans: str) -> F.Column:
-    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+def _text(docs: DataFrame) -> F.Column:
+    return F.coalesce(docs["text"], F.lit(""))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256 and spans of each row."""
-    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return find(docs).select("doc_id", *[count(k) for k in KINDS], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+def _key(text: F.Column) -> F.Column:
+    return F.unhex(F.sha2(text, 256))
 
 
-def _sanitised(text: F.Column, spans: F.Column) -> F.Column:
-    """text with each span, or chain of overlapping spans, replaced by the kind of its first."""
-    sorted_ = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+def _windows(text: F.Column, span: F.Column, reach: int) -> F.Column:
+    """The whole words within reach characters of a span, its own and those that it or the reach cuts left out."""
+    low = F.greatest(span["start"] - reach, F.lit(0))
+    before = F.regexp_replace(F.substring(text, low + 1, span["start"] - low), rf"{_WORD}++$", "")
+    before = F.when(low > 0, F.regexp_replace(before, rf"^{_WORD}++", "")).otherwise(before)
+    after = F.regexp_replace(F.substring(text, span["end"] + 1, reach), rf"^{_WORD}++", "")
+    after = F.when(span["end"] + reach < F.length(text), F.regexp_replace(after, rf"{_WORD}++$", "")).otherwise(after)
+    return _terms(F.concat_ws("\n", before, after))
+
 
-    def body(s):
-        ends = _scan(F.transform(s, lambda x: x["end"]), F.greatest)
+def _own_words(value: F.Column) -> F.Column:
+    """The words of an address before its @, without numbers."""
+    return F.filter(_terms(F.substring_index(value, "@", 1)), lambda w: ~w.rlike("^[0-9]+$"))
 
-        def pieces(e):
-            past = lambda i: F.when(i > 0, F.get(e, i - 1)).otherwise(0)
-            part = lambda x, i: F.when(x["start"] >= past(i), F.concat(F.substring(text, past(i) + 1, x["start"] - past(i)), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
-            return F.concat(F.array_join(F.transform(s, part), ""), F.substring(text, F.element_at(e, -1) + 1, F.length(text)))
 
-        return _bound(ends, pieces)
+def _pooled(value: F.Column) -> F.Column:
+    """What an address shares with others of its owner."""
+    return F.regexp_replace(F.lower(F.substring_index(value, "@", 1)), "[^a-z]+", "")
 
-    return F.when(F.size(spans) > 0, _bound(sorted_, body)).otherwise(text)
+
+def pairs(docs: DataFrame, reach: int) -> DataFrame:
+    """(key, rows, entity, term, own): each text's entities with the terms that go with them; term is null once an entity."""
+    text = _text(docs)
+    some = F.lit(False)
+    for kind in KINDS:
+        some = some | (F.expr(_CHEAP[kind].format("text")) & F.col("text").rlike(PATTERNS[kind]))
+    # copies of a text meet as one row a task
+    held = docs.select(text.alias("text")).where(some).groupBy(_key(F.col("text")).alias("key")).agg(F.first("text").alias("text"), F.count("*").alias("rows"))
+    free = _terms(F.regexp_replace("text", PATTERNS["email"], "\n"))
+    each = held.select("key", "rows", "text", F.when(F.col("text").contains("@"), free).alias("free"), F.explode(base_spans("text")).alias("b"))
+    mail = F.col("b.kind") == "email"
+    value = F.concat_ws(":", "b.kind", F.lower("b.value"))
+    names = F.when(mail & (F.length(_pooled(F.col("b.value"))) > 1), F.array(value, F.concat(F.lit("mailbox:"), _pooled(F.col("b.value"))))).otherwise(F.array(value))
+    near = F.transform(_windows(F.col("text"), F.col("b"), reach), lambda w: F.struct(w.alias("term"), F.lit(False).alias("own")))
+    own = F.transform(F.array_intersect("free", _own_words(F.col("b.value"))), lambda w: F.struct(w.alias("term"), F.lit(True).alias("own")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(False).alias("own")))
+    all_ = F.concat(none, near, F.when(mail, own).otherwise(F.array().cast("array<struct<term:string,own:boolean>>")))
+    return each.select("key", "rows", names.alias("names"), F.explode(all_).alias("t")).select("key", "rows", F.explode("names").alias("entity"), "t.term", "t.own")
+
+
+def disclosing(docs: DataFrame, reach: int = 256, share: float = 0.9, least: int = 2) -> DataFrame:
+    """(term, entity, share) of each term that discloses share or more of an entity."""
+    once = stored(pairs(docs, reach).groupBy("key", "entity", "term").agg(F.max("rows").alias("rows"), F.max("own").alias("own")))
+    entities = once.where("term is null").groupBy("entity").agg(F.sum("rows").alias("e"))
+    both = once.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("both"), F.max("own").alias("own"))
+    n = docs.count()
+    likely = stored(both.where((F.col("texts") >= least) | F.col("own")).join(entities, "entity").where(F.col("e") < n))
+    sizes = docs.select(F.explode(_terms(_text(docs))).alias("term")).groupBy("term").agg(F.count("*").alias("t"))
+    found = likely.join(sizes, "term").withColumn("share", 1 + F.log(F.col("both") / F.col("t")) / F.log(F.lit(float(n)) / F.col("e")))
+    return stored(found.where(F.col("share") >= share - 1e-12).select("term", "entity", "share"))
+
+
+def _risky(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, risky): the disclosing terms of each text that has some; a text's own words at most."""
+    text = _text(docs)
+    words = docs.select(_key(text).alias("key"), F.explode(_terms(text)).alias("term"))
+    return stored(words.join(found.select("term").distinct(), "term").groupBy("key").agg(F.collect_set("term").alias("risky")))
+
+
+def annotated(docs: DataFrame, reach: int = 256, share: float = 0.9, least: int = 2) -> DataFrame:
+    """(row, text, base, spans): each row of docs as a struct, its text ("" for null), its base spans and all spans."""
+    lists = _risky(docs, disclosing(docs, reach, share, least))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), _text(docs).alias("text")).withColumn("key", _key(F.col("text")))
+    joined = rows.join(lists, "key", "left").withColumn("base", F.transform(base_spans("text"), lambda x: F.struct(x["kind"], x["start"], x["end"])))
+    found = F.expr(f"filter({matches('text', TERM)}, x -> array_contains(risky, lower(x.value)))")
+    free = F.filter(found, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    terms = F.transform(free, lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return joined.select("row", "text", "base", F.when(F.col("risky").isNull(), F.col("base")).otherwise(F.concat(F.col("base"), terms)).cast(_SPAN).alias("spans"))
+
+
+def find(docs: DataFrame, reach: int = 256, share: float = 0.9, least: int = 2) -> DataFrame:
+    """doc_id, text, base and all spans (array<struct<kind, start, end>>) of each row."""
+    return annotated(docs, reach, share, least).select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "base", "spans")
+
+
+def joined(spans: str) -> F.Column:
+    """kind:start:end of each span, joined by commas."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def _sanitised(text: str, spans: str) -> F.Column:
+    """text with each span, or chain of overlapping spans, replaced by the kind of its first."""
+    part = f"if(x.start >= if(i > 0, get(e, i - 1), 0), concat(substring({text}, if(i > 0, get(e, i - 1), 0) + 1, x.start - if(i > 0, get(e, i - 1), 0)), '[', upper(x.kind), ']'), '')"
+    pieces = f"concat(array_join(transform(s, (x, i) -> {part}), ''), substring({text}, element_at(e, -1) + 1, length({text})))"
+    body = _bound(_scan("transform(s, x -> x.end)", _most), "e", pieces)
+    sorted_ = f"array_sort(transform({spans}, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"
+    return F.expr(f"case when size({spans}) > 0 then {_bound(sorted_, 's', body)} else {text} end")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with texts cleaned of all spans; n_chars, where there is one, follows. Null texts stay null."""
-    spans = find(docs).where("size(spans) > 0").select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    joined = docs.join(spans, F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("_key"), "left")
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_sanitised(F.col("text"), F.col("_spans"))))
+    out = annotated(docs)
+    some = F.size("spans") > 0
+    new = {"text": F.when(some, _sanitised("text", "spans")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(some, F.length(new["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

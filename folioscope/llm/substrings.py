@@ -13,16 +13,16 @@ reading one shuffle of the texts:
    round moves each entry to where the symbols before it send it (two symbols a round), and splits the intervals in
    which entries agree. After width / 2 rounds the intervals are the groups of equal ``width``-byte strings (common
    prefix of ``width`` or more); no suffix is sorted again. The least doc_id in an interval answers for its windows;
-4. the answers come back to the groups, which remove and hash.
+4. the answers come back to the groups, which remove.
 
 A group sends a repeated anchor or run once, whatever the number of its copies, so a hot passage costs a bucket one
 entry a group. Nothing is capped. Defined results: null text is empty; a null doc_id ranks after all others; rows with
-one doc_id never remove from each other; texts under ``width`` bytes stay whole; an empty table gives an empty result.
+one doc_id never remove from each other; texts under ``width`` bytes stay whole, longer
+ones are read whole, however long; repeated rows and ties in doc_id give a row each; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -363,22 +363,20 @@ def _round_4(n, width, gram):
         np.add.at(gone, start[e[hit]] + offset[hit] + width, -1)
         mask = np.cumsum(gone, out=gone) > 0
         del gone
-        runs = np.cumsum(mask & ~np.concatenate(([False], mask[:-1])), dtype=np.int32)
-        removed = np.concatenate((np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)))
-        n_removed = (removed[base[1:] - 1] - removed[base[:-1]]).astype(np.int64)
-        n_spans = [int(runs[b + s - 1] - (runs[b - 1] if b else 0)) if s else 0 for b, s in zip(base[:-1].tolist(), sizes.tolist())]
-        digests = []
-        for text, b, s, k in zip(group.texts, base[:-1].tolist(), sizes.tolist(), n_removed.tolist()):
-            digests.append(hashlib.sha256(np.frombuffer(text, np.uint8)[~mask[b : b + s]] if k else text).hexdigest())
-        return pa.table(
-            {"doc_id": pa.array(group.ids, pa.int64(), mask=group.null), "n_bytes": pa.array(sizes), "n_removed": pa.array(n_removed), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
-        )
+        edge = np.flatnonzero(np.diff(np.concatenate((np.zeros(1, np.int8), mask[:-1].view(np.int8), np.zeros(1, np.int8)))))
+        low, high = edge[::2], edge[1::2]
+        of = np.searchsorted(base, low, "right") - 1
+        counts = np.bincount(of, minlength=len(sizes))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+        spans = pa.StructArray.from_arrays([pa.array(low - base[of]), pa.array(high - base[of])], names=["start", "end"])
+        kept = [np.frombuffer(text, np.uint8)[~mask[b : b + len(text)]].tobytes() if k else text for text, b, k in zip(group.texts, base[:-1].tolist(), counts.tolist())]
+        return pa.table({"doc_id": pa.array(group.ids, pa.int64(), mask=group.null), "n_bytes": pa.array(sizes), "removed": pa.ListArray.from_arrays(offsets, spans), "kept": pa.array(kept, pa.binary())})
 
     return run
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+    """doc_id, n_bytes, removed (maximal runs of bytes, end exclusive) and kept (the bytes left, one after the other) of each row."""
     if width % 2 or gram > width:
         raise ValueError("width must be even and no less than gram")
     spark = docs.sparkSession
@@ -395,5 +393,5 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 24) -> DataFram
     known = back(shared.unionByName(runs))
     windows = met(groups().cogroup(known.groupBy("pi")).applyInArrow(_round_3(n, width, gram), _SEND)).applyInArrow(_answer_3(width), _BACK)
     return groups().cogroup(back(known.unionByName(windows)).groupBy("pi")).applyInArrow(
-        _round_4(n, width, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        _round_4(n, width, gram), "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
     )
