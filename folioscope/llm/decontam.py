@@ -1,28 +1,41 @@
 """Benchmark decontamination by spaced seeds.
 
-Tokens are runs of ASCII letters and digits and of bytes over 0x7F, A-Z lower-cased. A fixed mask keeps some positions
-of a window and ignores the rest, so a substituted word at an ignored position leaves the seed's hash as it was. Seeds
-of every document window are looked up among the benchmark's; a hit fixes an alignment of document and item, which is
-then compared word by word: the document is contaminated if, on that alignment, some window of ``span`` item tokens
-(the whole item if shorter) agrees in at least ``share`` of them. Items under ``least`` tokens are not searched; items
-shorter than a mask are seeded by each of their 5-token windows.
-
-The benchmark goes to the executors in blocks of about ``block_tokens`` tokens, each a broadcast of bounded size; a task
-holds one block at a time and asks it about a batch of documents. Defined results: null or empty text is clean; a null or repeated item counts by its own
-item_id (null ids are reported as -1); repeated documents give repeated rows; an empty benchmark finds nothing.
+Tokens are runs of ASCII letters and digits and of bytes over 0x7F, A-Z lower-cased. A document is contaminated if, on
+some alignment with a benchmark item, a window of ``span`` item tokens (the whole item if shorter) agrees in at least
+``share`` of them. A fixed mask keeps some positions of a window and ignores the rest, so a substituted word at an
+ignored position leaves the seed's hash as it was. The masks of a window size are chosen such that, wherever the
+substitutions that ``share`` allows fall, one mask lies between them at some place: no overlap is missed
+(``masks`` builds them, a test enumerates all patterns). Items of every length are searched; those of under 5 tokens
+must agree whole.
+
+Seeds of documents and of items meet in an equi-join on the hash; each carries the tokens around it, so a pair is
+compared where it meets. Before that, documents' seeds are held against a bitmap of the items' (``BITS`` bits, a fixed
+size, however large the benchmark), which only spares the join most seeds that have no partner. Texts are known by two
+64-bit hashes, so copies of a text are compared once. Defined results: null or empty text is clean; texts are read
+whole, however long; a null or repeated item counts by its own item_id (null ids are reported as -1), an item without
+tokens never; of several overlaps with equal agreement any is the best; repeated documents give repeated rows; an empty
+benchmark finds nothing; extra columns may have any name.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Positions of a window that count.
-MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 4, 6, 9), (0, 2, 3, 5, 6, 7), (0, 1, 2, 3, 4))
+from folioscope.llm.common import stored
+
+#: Positions that a mask keeps, at most.
+WEIGHT = 6
+#: Masks of a window size, at most, where fewer positions can make it so.
+FEW = 4
+#: Bits of the bitmap, two of which stand for a seed.
+BITS = 26
 _P = 0x9E3779B97F4A7C15
 _FORM = np.zeros(256, np.uint64)
 for _c in [*range(48, 58), *range(97, 123), *range(128, 256)]:
@@ -66,128 +79,163 @@ def _tokens(text: bytes) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _seeds(toks: np.ndarray, mask: tuple[int, ...], which: int) -> np.ndarray:
+def _seeds(toks: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     n = len(toks) - mask[-1]
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, which + 1, np.uint64)
+    h = np.full(n, sum(1 << p for p in mask), np.uint64)
     for at in mask:
         h = (h ^ toks[at : at + n]) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
     return h
 
 
-class Index:
-    """Seeds of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], span: int, share: float):
-        self.items, self.span, self.share = items, span, share
-        self.seeds = []
-        for k, mask in enumerate(MASKS):
-            each = [(_seeds(t, mask, k), i) for i, (_, t) in enumerate(items) if k < 3 or len(t) <= MASKS[1][-1]]
-            h = np.concatenate([x for x, _ in each] or [np.zeros(0, np.uint64)])
-            item = np.concatenate([np.full(len(x), i) for x, i in each] or [np.zeros(0, np.int64)])
-            pos = np.concatenate([np.arange(len(x)) for x, _ in each] or [np.zeros(0, np.int64)])
-            order = np.argsort(h, kind="stable")
-            h, bits = h[order], np.zeros(1 << 20, bool)
-            bits[h >> np.uint64(44)] = True
-            self.seeds.append((h, item[order], pos[order], bits))
-
-    def search(self, toks: np.ndarray) -> list[tuple[int, int]]:
-        """(item_id, agreeing tokens of the best window) of each item that toks overlaps."""
-        pairs = []
-        for k, (h, item, pos, bits) in enumerate(self.seeds):
-            own = _seeds(toks, MASKS[k], k) if len(h) else h
-            at = np.flatnonzero(bits[own >> np.uint64(44)])
-            if not len(at):
-                continue
-            low, high = np.searchsorted(h, own[at], "left"), np.searchsorted(h, own[at], "right")
-            n = high - low
-            at, low, n = at[n > 0], low[n > 0], n[n > 0]
-            if not len(at):
-                continue
-            to = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pairs.append(np.stack((item[to], np.repeat(at, n) - pos[to]), axis=1))
-        if not pairs:
-            return []
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        found = []
-        for i in np.unique(pairs[:, 0]):
-            name, want = self.items[i]
-            diagonals = pairs[pairs[:, 0] == i, 1]
-            size, best = min(self.span, len(want)), 0
-            for x in range(0, len(diagonals), 4096):
-                where = diagonals[x : x + 4096, None] + np.arange(len(want))
-                inside = (where >= 0) & (where < len(toks))
-                same = inside & (toks[np.where(inside, where, 0)] == want)
-                run = np.pad(np.cumsum(same, axis=1), ((0, 0), (1, 0)))
-                best = max(best, int((run[:, size:] - run[:, :-size]).max()))
-            if best >= self.share * size:
-                found.append((name, best))
-        return found
-
-
-def _blocks(benchmark: DataFrame, least: int, block_tokens: int):
-    """Benchmark items by blocks of bounded size, one block in the driver at a time."""
-    block, held = [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("binary").alias("text"))
-    for row in rows.orderBy("item_id", "text").toLocalIterator():
-        toks = tokens(row["text"])
-        if len(toks) < least:
-            continue
-        block.append((row["item_id"], toks))
-        held += len(toks)
-        if held >= block_tokens:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
-def _find(sent: list, text: pa.Array) -> list[dict[int, int]]:
-    """For each text, the items that it overlaps; one block of the benchmark in memory at a time."""
-    found: list[dict[int, int]] = [{} for _ in text]
-    for part in sent:
-        index = _index(part) if len(sent) == 1 else Index(*part.value)
-        for hits, t in zip(found, text):
-            for name, n in index.search(tokens(t.as_py())):
-                hits[name] = max(n, hits.get(name, 0))
-    return found
-
-
-@lru_cache(maxsize=1)
-def _index(part) -> Index:
-    return Index(*part.value)
-
-
-def _sent(docs: DataFrame, benchmark: DataFrame, span: int, share: float, least: int, block_tokens: int) -> list:
-    sc = docs.sparkSession.sparkContext
-    return [sc.broadcast((block, span, share)) for block in _blocks(benchmark, least, block_tokens)]
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = 13, share: float = 0.8, least: int = 5, block_tokens: int = 2_000_000) -> DataFrame:
-    """doc_id, contaminated, items (benchmark item_ids, ascending), overlap (most agreeing tokens of a window) per row."""
-    sent = _sent(docs, benchmark, span, share, least, block_tokens)
+def allowed(size: int, share: float) -> int:
+    """Substitutions that a window may hold."""
+    return size - math.ceil(share * size - 1e-9)
+
+
+@lru_cache(maxsize=None)
+def masks(size: int, wrong: int) -> tuple[tuple[int, ...], ...]:
+    """Masks such that any ``wrong`` positions of ``size`` leave one of them whole at some place.
+
+    The heaviest (up to WEIGHT) of which FEW do, chosen one by one for what they add; of large windows the run that must be left.
+    """
+    run = -(-(size - wrong) // (wrong + 1))
+    if not wrong or size > 16:
+        return (tuple(range(min(run, WEIGHT) if wrong else min(size, WEIGHT))),)
+    patterns = [sum(1 << p for p in c) for c in combinations(range(size), wrong)]
+    for weight in range(min(WEIGHT, size - wrong), run, -1):
+        left, found = set(patterns), []
+        each = {}
+        for rest in combinations(range(1, size), weight - 1):
+            m = sum(1 << p for p in (0, *rest))
+            places = [m << t for t in range(size - rest[-1] if rest else size)]
+            each[(0, *rest)] = {x for x in patterns if any(not x & y for y in places)}
+        while left and len(found) < FEW:
+            best = max(sorted(each), key=lambda k: len(each[k] & left))
+            found.append(best)
+            left -= each[best]
+        if not left:
+            return tuple(found)
+    return (tuple(range(run)),)
+
+
+def _marks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return h >> np.uint64(64 - BITS), (h >> np.uint64(8)) & np.uint64((1 << BITS) - 1)
+
+
+def _around(toks: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """The tokens from span - 1 before each place to span - 1 after it; 0 where there is none."""
+    padded = np.zeros(len(toks) + 2 * span - 2, np.uint64)
+    padded[span - 1 : span - 1 + len(toks)] = toks
+    return padded[at[:, None] + np.arange(2 * span - 1)]
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    size = rows.shape[1] * 8
+    return pa.array([x.tobytes() for x in np.ascontiguousarray(rows)] if len(rows) else [], pa.binary(size)).cast(pa.binary())
+
+
+def _signed(h) -> pa.Array:
+    return pa.array(np.asarray(h, np.uint64).view(np.int64), pa.int64())
+
+
+_ITEM = "h long, item long, size int, around binary"
+_DOC = "h long, k1 long, k2 long, around binary"
+
+
+def item_seeds(benchmark: DataFrame, span: int, share: float) -> DataFrame:
+    """(h, item, size of its windows, around) of each seed of each item."""
 
     def run(batches):
         for batch in batches:
-            found = _find(sent, batch.column(1))
-            items = pa.array([sorted(x) for x in found], pa.list_(pa.int64()))
-            most = pa.array([max(x.values(), default=0) for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), items, most], names=["doc_id", "items", "overlap"])
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                toks = tokens(text)
+                size = min(span, len(toks))
+                for mask in masks(size, allowed(size, share)) if size else ():
+                    h = _seeds(toks, mask)
+                    n = len(h)
+                    yield pa.RecordBatch.from_arrays([_signed(h), pa.array(np.full(n, item), pa.int64()), pa.array(np.full(n, size), pa.int32()), _bytes(_around(toks, np.arange(n), span))], names=["h", "item", "size", "around"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = rows.mapInArrow(run, "doc_id long, items array<long>, overlap long")
-    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "overlap")
+    return benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item"), F.col("text").cast("binary").alias("text")).mapInArrow(run, _ITEM)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, span: int = 13, share: float = 0.8, least: int = 5, block_tokens: int = 2_000_000) -> DataFrame:
-    """docs without the rows that overlap the benchmark; all columns stay."""
-    sent = _sent(docs, benchmark, span, share, least, block_tokens)
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """The bitmap of seeds' hashes: 2 ** BITS bits, gathered in buckets of 4 KB."""
+    low = F.shiftrightunsigned("h", 8).bitwiseAND(F.lit((1 << BITS) - 1))
+    marks = seeds.select(F.explode(F.array(F.shiftrightunsigned("h", 64 - BITS), low)).alias("x")).select((F.col("x") + 1).alias("x"))
+    rows = marks.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in rows:
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _document_seeds(docs: DataFrame, seeds: DataFrame, span: int, share: float) -> DataFrame:
+    """(h, k1, k2, around) of the seeds of each different text whose bits are set in the items' bitmap."""
+    used = sorted({m for r in seeds.select("size").distinct().collect() for m in masks(r["size"], allowed(r["size"], share))})  # span sizes at most
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(seeds))
+
+    def run(batches):
+        for batch in batches:
+            for k1, k2, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+                toks = tokens(text.as_py())
+                for mask in used:
+                    own = _seeds(toks, mask)
+                    bits, (x, y) = sent.value, _marks(own)
+                    at = np.flatnonzero((bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1)
+                    at = at[((bits[y[at] >> np.uint64(3)] >> (y[at] & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+                    for low in range(0, len(at), 16384):
+                        part = at[low : low + 16384]
+                        rows = np.unique(np.concatenate((own[part, None], _around(toks, part, span)), axis=1), axis=0)
+                        n = len(rows)
+                        yield pa.RecordBatch.from_arrays([_signed(rows[:, 0].copy()), pa.array(np.full(n, k1.as_py()), pa.int64()), pa.array(np.full(n, k2.as_py()), pa.int64()), _bytes(rows[:, 1:])], names=["h", "k1", "k2", "around"])
 
+    return docs.select(*_keys(docs), docs["text"].cast("binary").alias("text")).mapInArrow(run, _DOC).distinct()
+
+
+def _keys(docs: DataFrame) -> list[F.Column]:
+    return [F.xxhash64(docs["text"]).alias("k1"), F.xxhash64(F.lit(1), docs["text"]).alias("k2")]
+
+
+def _agreement(span: int, share: float):
     def run(batches):
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
-            yield batch.filter(pa.array([not x for x in _find(sent, text)], pa.bool_()))
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, 2 * span - 1) for i in (4, 5))
+            size = batch.column(3).to_numpy()
+            best = np.zeros(len(size), np.int64)
+            there = np.pad(np.cumsum(b != 0, axis=1), ((0, 0), (1, 0)))
+            same = np.pad(np.cumsum((a == b) & (b != 0), axis=1), ((0, 0), (1, 0)))
+            for s in np.unique(size).tolist():
+                rows = np.flatnonzero(size == s)
+                whole = there[rows, s:] - there[rows, :-s] == s
+                best[rows] = np.where(whole, same[rows, s:] - same[rows, :-s], 0).max(axis=1)
+            hit = np.flatnonzero(best >= share * size - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(hit)) for i in range(3)] + [pa.array(best[hit])], names=["k1", "k2", "item", "agree"])
+
+    return run
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 13, share: float = 0.8) -> DataFrame:
+    """(k1, k2, items, overlap): each different text that overlaps the benchmark, by its two hashes."""
+    seeds = stored(item_seeds(benchmark, span, share).distinct())
+    met = _document_seeds(docs, seeds, span, share).alias("d").join(seeds.alias("i"), "h").select("k1", "k2", "item", "size", F.col("d.around").alias("a"), F.col("i.around").alias("b"))
+    found = met.mapInArrow(_agreement(span, share), "k1 long, k2 long, item long, agree long")
+    return found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("agree").alias("overlap"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = 13, share: float = 0.8) -> DataFrame:
+    """doc_id, contaminated, items (benchmark item_ids, ascending), overlap (most agreeing tokens of a window) per row."""
+    found = stored(contaminated(docs, benchmark, span, share))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_keys(docs)).join(found, ["k1", "k2"], "left")
+    return rows.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
-    return docs.mapInArrow(run, docs.schema)
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, span: int = 13, share: float = 0.8) -> DataFrame:
+    """docs without the rows that overlap the benchmark; all columns stay."""
+    found = stored(contaminated(docs, benchmark, span, share).select("k1", "k2"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *_keys(docs))
+    return rows.join(found, ["k1", "k2"], "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
