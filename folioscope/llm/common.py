@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,19 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a temporary one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and reread: cuts the lineage and survives lost executors."""
+    """df written to the shared folder and reread: cuts the lineage and survives lost executors. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folioscope-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ AWKWARD = [
     (5, "same text twice " * 20, "fr", None), (6, "x" * 200_000, "en", "b"), (7, "word " * 60_000, "en", "b"), (8, "a@b.co +1 (222) 333-4444 1.2.3.4 4111 1111 1111 1111", "en", "b"), (9, "émoji 😀 ñ", "es", "c"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
-CLASH = ["score", "fp", "size", "key", "pi", "bucket", "tokens", "node", "rank", "shard", "spans", "base", "n", "rule", "host"]
+CLASH = ["score", "fp", "size", "key", "pi", "bucket", "tokens", "node", "rank", "shard", "spans", "base", "n", "rule", "host", "_spans", "_key", "_kept", "_id", "_t", "row", "text_", "k", "source_size", "taken"]
 
 
 def awkward(spark, rows=AWKWARD):
@@ -173,26 +173,53 @@ def test_mix(spark):
 # ---- 6 decontamination
 
 
+def brute_overlap(want, have, span=13, share=0.8):
+    """Agreeing tokens of the best window over all alignments; 0 if it doesn't reach share."""
+    size, best = min(span, len(want)), 0
+    for shift in range(-len(want), len(have)):
+        same = [0 <= shift + j < len(have) and have[shift + j] == w for j, w in enumerate(want)]
+        best = max([best, *(sum(same[k : k + size]) for k in range(len(want) - size + 1))])
+    return best if size and best >= share * size - 1e-9 else 0
+
+
 def test_decontamination(spark):
     rnd = random.Random(3)
-    words = [f"w{i}" for i in range(400)]
-    items = [[rnd.choice(words) for _ in range(n)] for n in (5, 7, 12, 15, 30, 60, 3)]
-    noise = lambda n: [rnd.choice([f"z{i}" for i in range(999)]) for _ in range(n)]
-    rows, want = [], {}
-    for i, item in enumerate(items):
-        rows.append((i, " ".join(noise(30) + item + noise(30)), "", ""))
-        want[i] = [i] if len(item) >= 5 else []
-    changed = list(items[4])
-    changed[6] = changed[19] = "other"
-    rows += [(20, " ".join(x.upper() + "," for x in noise(9) + changed), "", ""), (21, " ".join(noise(500)), "", ""), (22, " ".join(noise(20) + items[5][:9] + noise(20)), "", ""), (23, None, "", "")]
-    want |= {20: [4], 21: [], 22: [], 23: []}
-    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(None, None)], "item_id long, text string")
-    for block in (2_000_000, 20):
-        got = {r.doc_id: (r["items"], r.contaminated) for r in decontam.overlaps(awkward(spark, rows), bench, block_tokens=block).collect()}
-        assert got == {k: (v, bool(v)) for k, v in want.items()}
+    words = [f"w{i}" for i in range(60)]
+    items = [[rnd.choice(words) for _ in range(n)] for n in (1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 30, 60)]
+    noise = lambda n: [rnd.choice([f"z{i}" for i in range(99)]) for _ in range(n)]
+    rows = [(900, None, "", ""), (901, "", "", ""), (902, " ".join(noise(400)), "", "")]
+    for i in range(250):
+        item = list(rnd.choice(items[4:]))
+        low = rnd.randint(0, max(0, len(item) - 8))
+        item = item[low : low + rnd.randint(4, 20)]
+        for _ in range(rnd.randint(0, 3)):
+            item[rnd.randrange(len(item))] = "other"
+        rows.append((i, " ".join(x.upper() + "," for x in noise(rnd.randint(0, 9)) + item + noise(rnd.randint(0, 9))), "", ""))
+    rows += rows[:30]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(None, None), (77, "-")], "item_id long, text string")
+    got = sorted((r.doc_id, r["items"], r.overlap, r.contaminated) for r in decontam.overlaps(awkward(spark, rows), bench).collect())
+    want = []
+    for d, text, _, _ in rows:
+        have = re.findall("[a-z0-9]+", (text or "").lower())
+        each = [brute_overlap(x, have) for x in items]
+        want.append((d, [i for i, n in enumerate(each) if n], max(each), any(each)))
+    assert got == sorted(want) and sum(w[3] for w in want) > 100
+    kept = decontam.keep_clean(awkward(spark, rows), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[3])
     assert decontam.keep_clean(awkward(spark, rows), bench.limit(0)).count() == len(rows)
 
 
+def test_masks_miss_nothing():
+    from itertools import combinations
+
+    for share in (0.8, 0.7):
+        for size in range(1, 21):
+            wrong = decontam.allowed(size, share)
+            chosen = decontam.masks(size, wrong)
+            for bad in combinations(range(size), wrong):
+                assert any(all(t + p not in bad for p in m) for m in chosen for t in range(size - m[-1])), (size, bad)
+
+
 def test_long_text_tokens():
     text = ("Aé1 " * 100_000 + "b" * 300_000 + " end").encode()
     small = decontam.tokens(b"a\xc3\xa91 x " + b"b" * 300_000 + b" END")
@@ -232,8 +259,10 @@ def test_repeated_substrings(spark):
             text += p[a : rnd.randint(a, len(p))] + rnd.choice(["", "é", "zz"])
         rows.append((rnd.choice([None, *range(100)]), text, "", ""))
     rows += [(200, "ab" * 100, "", ""), (201, "ab" * 300_000, "", ""), (5, None, "", "")]
-    got = sorted(map(tuple, substrings.remove_repeats(awkward(spark, rows)).collect()), key=str)
+    got = sorted(map(tuple, queries.repeats(awkward(spark, rows)).collect()), key=str)
     assert got == brute_repeats([(r[0], (r[1] or "").encode()) for r in rows])
+    for r in substrings.remove_repeats(awkward(spark, [(1, "a" * 30 + "é" * 40, "", ""), (2, "zz" + "a" * 30 + "é" * 40 + "y", "", "")])).collect():
+        assert (bytes(r.kept), [tuple(x) for x in r.removed]) == (b"zzy", [(2, 112)]) if r.doc_id == 2 else not r.removed
 
 
 def test_merge_equals_sorting():
@@ -270,7 +299,7 @@ def test_personal_data_base(spark):
     rnd = random.Random(6)
     bits = ["a", "b@", "1", "2", "3.", "4", "+", "-", " ", "(", ".", "@", "1234567890123456", "é", "x.y", "😀", "_", "4111 1111 1111 1111 ", "a@b.co", "1.2.3.4", "+1 222 333 4444"]
     rows = AWKWARD + [(100 + i, "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))), "", "") for i in range(1500)] + [(9000, "1 " * 20_000, "", ""), (9001, "a@b.cc " * 5000, "", "")]
-    got = sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.report(awkward(spark, rows)).collect())
+    got = sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in queries.personal_data(awkward(spark, rows)).collect())
     want = []
     for r in rows:
         found = {k: [m for m in re.finditer(p, r[1] or "") if valid(k, m.group())] for k, p in PATTERNS.items()}
@@ -283,8 +312,8 @@ def test_disclosing_terms(spark):
     rows = [(i, f"Call Jane on jane@x.com please {w}", "", "") for i, w in enumerate(("today", "soon", "now"))] + [(3 + i, "Call Bob on bob@y.org please today", "", "") for i in range(3)]
     rows += [(10 + i, f"words today soon now please call on {i}", "", "") for i in range(60)] + [(99, "Jane was here", "", ""), (100, None, "", "")]
     docs = awkward(spark, rows)
-    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
-    assert spans[0] == "email:13:23,term:5:9" and spans[3] == "email:12:21" and spans[99] == "term:0:4" and spans[20] == "" and spans[100] == ""
+    spans = {r.doc_id: r.spans for r in queries.personal_data(docs).collect()}
+    assert spans[0] == "email:13:23,term:5:9" and spans[3] == "email:12:21,term:5:8" and spans[99] == "term:0:4" and spans[20] == "" and spans[100] == ""
     clean = {r.doc_id: (r.text, r.n_chars) for r in pii.sanitise(docs).collect()}
     assert clean[0] == ("Call [TERM] on [EMAIL] please today", 35) and clean[99][0] == "[TERM] was here" and clean[100] == (None, None) and clean[20][0] == rows[16][1]
 
@@ -377,7 +406,7 @@ def test_awkward_rows(spark, empty):
     docs = docs.limit(0) if empty else docs
     labels, bench = table(spark, "labels"), table(spark, "benchmark")
     n = 0 if empty else len(AWKWARD)
-    for out in (licenses.scan(docs), toxicity.score(docs, toxicity.fit(docs, labels)), token_counts.token_counts(docs), mixing.mix(docs), decontam.overlaps(docs, bench), substrings.remove_repeats(docs), pii.report(docs), simhash.near_duplicates(docs)):
+    for out in (licenses.scan(docs), toxicity.score(docs, toxicity.fit(docs, labels)), token_counts.token_counts(docs), mixing.mix(docs), decontam.overlaps(docs, bench), substrings.remove_repeats(docs), queries.personal_data(docs), simhash.near_duplicates(docs)):
         assert out.count() == n
     for out in (toxicity.keep_clean(docs, labels), decontam.keep_clean(docs, bench), pii.sanitise(docs), simhash.keep_one(docs)):
         assert out.columns == docs.columns and out.count() <= n
@@ -391,16 +420,57 @@ def test_pipeline(spark, tmp_path):
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "source_mix"]
     docs = table(spark, "documents")
-    labels, bench = table(spark, "labels"), [(r.item_id, decontam.tokens(r.text.encode())) for r in table(spark, "benchmark").collect()]
+    labels = table(spark, "labels")
+    items = [re.findall("[a-z0-9]+|[\x80-\xff]+", r.text.encode().decode("latin-1").lower()) for r in table(spark, "benchmark").collect()]
+    grams = {tuple(x[i : i + 3]) for x in items for i in range(len(x) - 2)}  # of a window that agrees, some three in a row do
     toxic = {r.doc_id for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("predicted = 1").collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic]
-    comp = classes([brute_fingerprint(t) for _, t in rows], [d for d, _ in rows])
-    rows = [r for r, c in zip(rows, comp) if r[0] == c]
-    index = decontam.Index(bench, 13, 0.8)
-    rows = [r for r in rows if not index.search(decontam.tokens(r[1].encode()))]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for _, t in rows)]
+    rows = [r for r, c in zip(rows, near_classes(sets, [d for d, _ in rows])) if r[0] == c]
+    clean = {}
+    for d, text in rows:
+        have = re.findall("[a-z0-9]+|[\x80-\xff]+", "".join(c.lower() if c < "\x80" else c for c in text.encode().decode("latin-1")))
+        if not any(tuple(have[i : i + 3]) in grams for i in range(len(have))) or not any(brute_overlap(x, have) for x in items):
+            clean[d] = text
     got = corpus_pipeline.run(spark, SF).toPandas()
-    assert sorted(got.doc_id) == sorted(d for d, _ in rows)
+    assert sorted(got.doc_id) == sorted(clean) and {"text", "lang", "source", "n_chars", "taken"} <= set(got.columns)
     assert abs(got.taken.sum() / got["size"].sum() - 1.5) < 0.01
+    for d, text, size, chars in zip(got.doc_id, got.text, got["size"], got.n_chars):
+        assert size == len(re.findall(r"[^\x20\x09-\x0D]+", text)) and chars == len(text)
+        mails = [m.group() for m in re.finditer(PATTERNS["email"], clean[d])]
+        assert not any(m in text for m in mails) and text.count("[EMAIL]") >= bool(mails) and (text == clean[d] or "[" in text)
+
+
+def near_classes(sets, ids, similarity=0.8):
+    up, seen = list(range(len(sets))), {}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in {j for x in a for j in seen.get(x, ())}:
+            if find(i) != find(j) and len(a & sets[j]) >= similarity * len(a | sets[j]):
+                up[find(i)] = find(j)
+        for x in a:
+            seen.setdefault(x, []).append(i)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), 1 << 64), d)
+    return [least[find(i)] for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_awkward_rows(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    docs = awkward(spark).limit(0) if empty else awkward(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        (table(spark, name).limit(0) if empty else table(spark, name)).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in got if r.doc_id is not None)) == ([] if empty else [1, 4, 6, 7, 8, 9]) and len(got) == (0 if empty else 7)
 
 
 def test_queries_are_registered():
