@@ -46,11 +46,6 @@ def test_licenses(spark):
     assert got[1] == (["MIT"], 1) and got[2] == (["CC-BY-NC-4.0"], 1) and got[3] == ([], 1) and got[4][0] == ["Apache-2.0"] and got[5][0] == ["CC-BY-4.0"] and got[6][0] == [] and got[7][0] == ["MIT"]
 
 
-def test_license_differences():
-    assert licenses.differences("a b c".split(), "x a b y c z".split()) == ([], 1)
-    assert licenses.differences("a b c".split(), "a c".split()) == (["b"], 0)
-
-
 # ---- 2 toxicity
 
 
