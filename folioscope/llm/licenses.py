@@ -5,12 +5,12 @@ template reaches. Each block is compressed alone and with every template as a zs
 template saves ranks the templates and drops none. A template is confirmed wherever the block really holds its wording:
 at the best local alignment its words occur in order, with at most ``slack`` of them missing and as many inserted, none of
 its distinctive words (names, numbers) missing; the exact missing words and the number of inserted ones are reported, with
-the exact span of the notice and what the template saves on it. Of confirmed templates whose words overlap the closest
-wins, the longer and the higher ranked of equals; all others stand. Blocks over ``window`` characters are read by
+the exact span of the notice and what the template saves on it. Of confirmed templates whose words overlap the one
+that explains most words, less two a difference, wins; all others stand. Blocks over ``window`` characters are read by
 windows that overlap by half, so a long text is scanned whole and a notice of up to half a window is never cut.
 Templates are the short notices, the paragraphs of the full texts that name their license alone, and SPDX tags. Defined
 results: null and empty texts hold no block; a block that no template explains is one candidate without a license; ties
-go to the longer template, then the better ranked, then the earlier name; repeated rows give repeated rows; an empty table
+go to the better ranked template, then the earlier name; repeated rows give repeated rows; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -196,7 +196,7 @@ class Scanner:
             name, _, need, marked = self.each[i]
             if marked <= there:
                 for start, end, missing, inserted in aligned(need, have, marked, self.slack * len(need)):
-                    found.append(((len(missing) + inserted, -len(need), rank, start), (start, end, i, missing, inserted)))
+                    found.append(((2 * (len(missing) + inserted) - len(need), rank, start), (start, end, i, missing, inserted)))
         taken: list[tuple] = []
         for _, x in sorted(found, key=lambda f: f[0]):
             if all(x[1] <= t[0] or t[1] <= x[0] for t in taken):
