@@ -12,6 +12,19 @@ from folioscope.functions.text import strip
 SPACING = r"\\(?:quad|qquad|[,;:!]|hspace\s*\{[^}]*\}|vspace\s*\{[^}]*\})"
 EQUATION_MARK = r"(?i)(?:Eq\.?|Equation)\s*\(\s*\d+\s*\)"
 OTHER_MARK = r"(?i)\b(fig(?:ure)?|table|tab\.?|section|sec\.?|chapter|chap\.?|year|vol\.?|pp\.?|page|pages|doi|isbn|issn)\b"
+SCRAP = r"(?i)\\intertext\b|\\code\b|\\text\s*\{\s*(?:red|al|bottom|top|weighted|equative|due|graphs|wein|s\s*e\s*f\s*t\s*i\s*m\s*e|accorages|this,\s*we|scale\s+of)\s*\}"
+PROSE_TEXT = r"(?i)\\text\s*\{[^}]*(?:wein|out\s+comes|predicted\s+pro|probabin|between\s+out)"
+SPLIT_COMMAND = r"(?i)\\(?:Pr|mathrm|mathbf|mathcal|hat|frac|text)\s+[a-z](?:\s+[a-z]){1,}"
+TABLE_FRAGMENT = r"(?im)^\s*F\s*1\s*&\s*="
+STRAY_CLOSE = r"(?<!\\)\\\)"
+NO_LEFT_SIDE = r"(?i)\\begin\{(?:aligned|align\*?)\}\s*&\s*="
+SPACED_LETTERS = r"(?i)(?:^|[^\\a-z])([a-z])(?:\s+[a-z]){3,}(?![a-z])"
+NN_FRAC = r"(?i)\\frac\s*\{\s*n\s*\}\s*\{\s*n\s*\}"
+HALLUCINATION = (
+    r"(?is)\\Pr\s*_\s*\{\s*\\?\s*\}\s*c\s+a\s+r|\bc\s+a\s+r\b|(?:\\quad\s*){8,}|\\stackrel\b|\\hbar\b|\{\s*\{\s*=\s*\}\s*\}|(?:\\frac\s*\{\s*n\s*\}\s*\{\s*n\s*\}\s*){2,}|"
+    r"(?:\\frac\s*\{\s*\\hbar\s*\}\s*\{\s*\\hbar\s*\})|\\text\s*\{\s*tests\s*\}|\\text\s*\{\s*esense\s*\}"
+)
+EMPTY_BRACES = r"^(?:\{\s*\{\s*[=+\-]?\s*\}\s*\}|\\\\|\s|\\,|\\quad)*+$"
 MATH_TOKEN = r"\\[a-zA-Z]+|[_^]|\{|\}|="
 
 
@@ -64,23 +77,25 @@ def token_count(text: Column) -> Column:
     return F.size(F.filter(found, lambda t: ~F.lower(F.ltrim(F.lit("\\"), t)).isin("quad", "qquad", "hspace", "vspace"))).cast("long")
 
 
-def corruption(text: Column, longest: int = 300, least_tokens: int = 8, ratio: float = 0.2, most_quads: int = 8) -> Column:
+def corruption(text: Column, longest: int = 300, least_tokens: int = 10, ratio: float = 0.05, most_quads: int = 8) -> Column:
     """struct(corruption, syntax, valid, reasons): the worst of the rules that hold; valid under 0.75 with syntax of 0.5 or more."""
     raw = strip(text)
     n, meaning, tokens, quads = F.greatest(F.lit(1), F.length(raw)), F.length(bare(raw)), token_count(raw), F.regexp_count(raw, F.lit(r"\\quad\b"))
     rules = [
         ((n > longest) & (tokens < least_tokens), 1.0, "long_low_information"), (quads >= most_quads, 0.8, "quad_run"), ((quads / F.greatest(F.lit(1), tokens + quads) > 0.15) & (quads >= 4), 0.8, "quad_ratio"),
         ((meaning / n < ratio) & (n >= 40), 1.0, "spacing_only_ratio"), ((n >= 80) & (meaning <= 12) & (tokens <= 2), 1.0, "degenerate_after_strip"),
-        (raw.rlike(r"(?i)(?:^|[^\\a-z])([a-z])(?:\s+[a-z]){3,}(?![a-z])"), 0.85, "spaced_letters"), (raw.rlike(r"(?is)(?:\\quad\s*){8,}|\\stackrel\b|\\hbar\b|\{\s*\{\s*=\s*\}\s*\}"), 0.95, "hallucination"),
-        (raw.rlike(r"(?i)\\begin\{(?:aligned|align\*?)\}\s*&\s*="), 0.85, "missing_left_side"),
+        (raw.rlike(SCRAP), 0.9, "layout_prose_scrap"), (raw.rlike(PROSE_TEXT), 0.9, "prose_in_math_text"), (raw.rlike(SPLIT_COMMAND), 0.88, "split_latex_command"), (raw.rlike(TABLE_FRAGMENT), 0.85, "amp_table_fragment"),
+        (raw.rlike(STRAY_CLOSE) & ~raw.contains("\\("), 0.82, "stray_inline_close"), (raw.rlike(NO_LEFT_SIDE), 0.85, "aligned_missing_lhs"), (raw.rlike(SPACED_LETTERS), 0.85, "spaced_letter_garbage"), (raw.rlike(HALLUCINATION), 0.95, "ocr_hallucination"),
+        (raw.rlike(EMPTY_BRACES), 1.0, "empty_brace_garbage"), (F.regexp_count(raw, F.lit(NN_FRAC)) >= 2, 1.0, "repeated_nn_frac"), (raw.rlike(r"^\\Gamma(?:\s|\\quad|\\,)*$"), 1.0, "degenerate_gamma"),
     ]
     open_close = lambda a, b: F.regexp_count(F.regexp_replace(raw, rf"\\[{a}{b}]", ""), F.lit(rf"[{a}]")) != F.regexp_count(F.regexp_replace(raw, rf"\\[{a}{b}]", ""), F.lit(rf"[{b}]"))
-    uneven = open_close(r"\{", r"\}") | open_close(r"\[", r"\]") | open_close(r"\(", r"\)")
+    each = [(open_close(r"\{", r"\}"), "unbalanced_{}"), (open_close(r"\[", r"\]"), "unbalanced_[]"), (open_close(r"\(", r"\)"), "unbalanced_()")]
+    uneven = each[0][0] | each[1][0] | each[2][0]
     names = lambda word: F.array_sort(F.regexp_extract_all(raw, F.lit(rf"\\{word}\{{([^}}]+)\}}"), F.lit(1)))
     unmatched = names("begin") != names("end")
     worst = F.greatest(F.lit(0.0), *[F.when(c, s).otherwise(0.0) for c, s, _ in rules])
     syntax = F.when(unmatched, 0.3).when(uneven, 0.4).otherwise(1.0)
-    why = F.array_join(_all([*[F.when(c, r) for c, _, r in rules], F.when(uneven, "unbalanced"), F.when(unmatched, "env_mismatch")]), ",")
+    why = F.array_join(_all([*[F.when(c, r) for c, _, r in rules], *[F.when(c, r) for c, r in each], F.when(unmatched, "env_mismatch")]), ",")
     return F.struct(worst.alias("corruption"), syntax.alias("syntax"), ((worst < 0.75) & (syntax >= 0.5)).alias("valid"), why.alias("reasons"))
 
 

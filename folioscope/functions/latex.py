@@ -17,18 +17,23 @@ SIZE = r"\\(?:left|right|big|Big|bigg|Bigg)\s*"
 SPACING = r"\\(?:quad|qquad|,|;|!)\b|~+"
 TRAILING_NUMBER = r"[\((]\s*\d{1,3}[a-zA-Z]?\s*[\))]\s*\.?\s*$"
 TOKEN = r"\\[a-zA-Z]+|[{}\[\]()^_=+\-*/,]|[A-Za-z0-9]+|\\.|."
-FONT_DEPTH = 8
+_OPENED = r"\\(?:mathrm|operatorname|mathbf|boldsymbol|mathit|mathtt|textrm|textbf|text)\s*\{"
 
 
 def _drop(text: Column, *patterns: str) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p, ""), patterns, text)
 
 
+def _unwrapped(text: Column) -> Column:
+    """Without font commands at any depth: each pass unwraps the innermost, and no more passes than commands are needed."""
+    n = F.regexp_count(text, F.lit(_OPENED))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), text, lambda s, _: F.regexp_replace(s, FONT, "$1"))).otherwise(text)
+
+
 def canonical(text: Column) -> Column:
     """Strict canonical form: without fences, tags, fonts, sizes, spacing, braces and, after an equals sign, a trailing number."""
     s = _drop(_drop(strip(text), r"\$"), TAG)
-    for _ in range(FONT_DEPTH):
-        s = F.regexp_replace(s, FONT, "$1")
+    s = _unwrapped(s)
     s = F.regexp_replace(_drop(s, ENVIRONMENT, SIZE), r"\\(?:dfrac|tfrac)\b", r"\\frac")
     s = _drop(s, SPACING, r"[{}&]", r"\s+")
     head = F.regexp_replace(s, TRAILING_NUMBER, "")

@@ -17,8 +17,13 @@ FIGURE_MARK = rf"<!--\s*{MARK}:FIGURE:p(\d{{4}}):f(\d{{2}})\s*-->"
 # Fixed values.
 MAXIMUM = r"(?i)\\max(?:\b|_)|\bmaxim(?:is|um|ize|ise)\b|\bmax\b|arg\s*\\?max|argmax|r\s*\^\s*\{?\s*\*"
 MINIMUM = r"(?i)\\min(?:\b|_)|\bminim(?:is|um|ize|ise)\b|\bmin\b|arg\s*\\?min|argmin"
-NUMERIC_ANCHOR = r"\d+(?:[.,]\d+)+|\d{5,}|\d+(?:\.\d+)?%"
+NUMERIC_ANCHOR = r"(?i)\b0\.\d{2,}\b|\b[1-9]\d*\.\d+\b|\b\d+\.\d+%\b|\bN\s*=\s*[\d,]+\b|(?:Eq\.|Equation)\s*\(?\d+\)?|(?:Table|Fig\.|Figure)\s+\d+"
 WORD_ANCHOR = r"\b[A-Za-z][A-Za-z0-9\-]{5,}\b"
+ANCHOR_STOP_WORDS = (
+    "which their these those where while would could should about after before between through during under over such than that this with from have been were will also into more most some "
+    "other using used based paper figure table section abstract introduction results method methods pages volume series press university conference proceedings copyright "
+    "permission reproduced published springer"
+).split()
 JUNK_ANCHOR = r"(?i)^(?:\d{7}\.\d{7}|\d{4}|\[\d{1,3}\]|10\.\d+.*|\d{1,4})$"
 
 
@@ -69,18 +74,28 @@ def direction_conflict(context: Column, found: Column, original: Column) -> Colu
 
 
 def anchors(text: Column, least: int = 80, most: int = 48) -> Column:
-    """Numbers, then long words, that a faithful copy must hold; none for short texts."""
+    """Numbers, then long words, in lower case, that a faithful copy must hold; none for short texts."""
     t = F.regexp_replace(strip(text), r"\s+", " ")
-    found = F.concat(F.regexp_extract_all(t, F.lit(NUMERIC_ANCHOR), F.lit(0)), F.regexp_extract_all(t, F.lit(WORD_ANCHOR), F.lit(0)))
-    kept = F.filter(found, lambda a: ~a.rlike(JUNK_ANCHOR) & (F.length(a) >= 3))
-    return F.when(F.length(t) < least, F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(kept), 1, most))
+    kept = lambda p: F.filter(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda a: F.trim(a)), lambda a: ~a.rlike(JUNK_ANCHOR) & (F.length(a) >= 3))
+    low = lambda items: F.transform(items, lambda a: F.lower(a))
+    stop = F.array(*[F.lit(w) for w in ANCHOR_STOP_WORDS])
+    usable = F.filter(kept(WORD_ANCHOR), lambda a: a.rlike("[A-Za-z]{3,}"))
+
+    def made(x):
+        numbers = F.array_distinct(low(x["n"]))
+        # words fill up to the limit, and one is added whatever the number of numbers
+        words = F.slice(F.array_except(F.array_except(low(x["w"]), numbers), stop), F.lit(1), F.greatest(F.lit(1), F.lit(most) - F.size(numbers)))
+        return F.concat(numbers, words)
+
+    found = F.element_at(F.transform(F.array(F.struct(kept(NUMERIC_ANCHOR).alias("n"), usable.alias("w"))), made), 1)
+    return F.when(F.length(t) < least, F.array().cast("array<string>")).otherwise(found)
 
 
 def missing_anchors(found: Column, text: Column) -> Column:
     """Anchors that text lacks, whatever their case and the commas in numbers."""
-    low = F.lower(text)
-    bare = F.regexp_replace(low, r"[,\s]", "")
-    return F.filter(found, lambda a: ~(low.contains(F.lower(a)) | (a.rlike(r"\d") & bare.contains(F.regexp_replace(F.lower(a), r"[,\s]", "")))))
+    both = F.array(F.struct(F.lower(text).alias("low"), F.regexp_replace(F.lower(text), r"[,\s]", "").alias("bare")))
+    there = lambda x, a: x["low"].contains(F.lower(a)) | (a.rlike(r"\d") & x["bare"].contains(F.regexp_replace(F.lower(a), r"[,\s]", "")))
+    return F.element_at(F.transform(both, lambda x: F.filter(found, lambda a: ~there(x, a))), 1)
 
 
 def from_first_page(text: Column) -> Column:

@@ -31,9 +31,12 @@ def counts_after(looked_up: DataFrame) -> DataFrame:
 
 def anchor_lookup(asked: DataFrame, anchors: DataFrame) -> DataFrame:
     """asked (qid, number, page) -> the anchor of that number: same page, then margin, then page, y, right to left."""
-    hits = asked.join(anchors.withColumnRenamed("page", "a_page"), "number")
-    order = Window.partitionBy("qid").orderBy((F.col("a_page") != F.col("page")).cast("int"), (~F.col("margin")).cast("int"), "a_page", "y", F.desc("x"), "aid")
-    return hits.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("qid", "aid")
+    # the first anchor of a number and page, and of a number, by the same order: two joins of one row a key
+    rank = F.struct((~F.col("margin")).cast("int").alias("m"), "page", "y", (-F.col("x")).alias("x"), "aid")
+    here = anchors.groupBy("number", "page").agg(F.min(rank)["aid"].alias("near"))
+    any_ = anchors.groupBy("number").agg(F.min(rank)["aid"].alias("first"))
+    found = asked.join(here, ["number", "page"], "left").join(any_, "number")
+    return found.select("qid", F.coalesce("near", "first").alias("aid"))
 
 
 def alignment_conflicts(items: DataFrame, margin: float = 0.06) -> DataFrame:

@@ -13,7 +13,7 @@ from folioscope.sources.tables import load
 MARKDOWN = """concat(
   CASE WHEN doc_id % 3 = 0 THEN concat('PAGE ', doc_id % 7 + 1, chr(10)) WHEN doc_id % 3 = 1 THEN concat('<!-- PAGE ', doc_id % 5 + 1, ' -->', chr(10)) ELSE '' END,
   CASE WHEN doc_id % 4 = 0 THEN concat('# ', source, chr(10)) ELSE '' END,
-  CASE WHEN doc_id % 17 = 3 THEN '' ELSE concat(substr(text, 1, 400), chr(10)) END,
+  text, chr(10),
   CASE WHEN doc_id % 5 < 2 THEN concat('$$', chr(10), chr(92), 'frac{x}{', doc_id % 9, '} = y_', doc_id % 4, ' ', chr(92), 'tag{', doc_id % 6, '}', chr(10), CASE WHEN doc_id % 5 = 0 THEN '$$' ELSE '' END, chr(10)) ELSE '' END,
   CASE WHEN doc_id % 6 = 0 THEN concat('| a | b |', chr(10), '|---|---|', chr(10), '| 1 | 2 |', chr(10), '| 3 | ', doc_id % 8, ' |', chr(10), '![f](img', doc_id % 3, '.png)', chr(10), 'Figure ', doc_id % 4 + 1, '. ', source, chr(10)) ELSE '' END,
   CASE WHEN doc_id % 7 = 0 THEN concat('Formula extraction failed', chr(10)) ELSE '' END,
@@ -139,5 +139,5 @@ _add("f06_stratified_pick", lambda d: bm.top_per_group(d, "lang", [F.col("doc_id
 _add("f05_top_difficulty", lambda d: d.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(200), "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 200", _docs, "")
 _add("d36_histogram_pivot", lambda d: d.groupBy("lang").pivot("b", ["long", "short"]).agg(F.count(F.lit(1))).na.fill(0), "SELECT lang, count(*) FILTER (n_chars >= 1000) AS long, count(*) FILTER (n_chars < 1000) AS short FROM documents GROUP BY lang",
      lambda s, d: _docs(s, d).select("lang", F.when(F.col("n_chars") >= 1000, "long").otherwise("short").alias("b")), "")
-_add("c16_upsert", lambda d: bm.upsert(d.where("doc_id % 2 = 0").select("doc_id", "n_chars", "lang"), d.where("doc_id % 3 = 0").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"), F.expr("if(doc_id % 9 = 0, null, 'xx')").alias("lang")), "doc_id", ("n_chars", "lang")),
-     """b AS (SELECT * FROM documents WHERE doc_id % 2 = 0), p AS (SELECT doc_id, n_chars + 1 AS n, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 'xx' END AS l FROM documents WHERE doc_id % 3 = 0) SELECT doc_id, coalesce(n, n_chars) AS n_chars, coalesce(l, lang) AS lang FROM b FULL JOIN p USING (doc_id)""", _docs, "WITH ")
+_add("c16_upsert", lambda d: bm.upsert(d.select("doc_id", "n_chars", "lang"), d.select(F.expr("if(doc_id % 3 = 0, doc_id, -doc_id)").alias("doc_id"), (F.col("n_chars") + 1).alias("n_chars"), F.expr("if(doc_id % 9 = 0, null, 'xx')").alias("lang")), "doc_id", ("n_chars", "lang")),
+     """b AS (SELECT * FROM documents), p AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE -doc_id END AS doc_id, n_chars + 1 AS n, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 'xx' END AS l FROM documents) SELECT doc_id, coalesce(n, n_chars) AS n_chars, coalesce(l, lang) AS lang FROM b FULL JOIN p USING (doc_id)""", _docs, "WITH ")

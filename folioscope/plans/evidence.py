@@ -60,11 +60,11 @@ _add("l30_placed", lambda s, d: _per_text(transcripts(s, d), "text", rv.placed_o
 
 # ---- Identities and audits
 
-_TEXT = "concat('Value is defined by Eq. (', doc_id % 9, '): ', substr(text, 1, 60), ' see Equation (', doc_id % 7, 'a) and word Eqs (', doc_id % 5, ') end')"
+_TEXT = "concat('Value is defined by Eq. (', doc_id % 9, '): ', text, ' see Equation (', doc_id % 7, 'a) and word Eqs (', doc_id % 5, ') end')"
 _add(
     "k14_mentions",
-    lambda s, d: idn.mentions(load(s, d, "documents").select("doc_id", F.expr(_TEXT).alias("text"))).where("start < 40 or label rlike 'a$'").select("doc_id", "label", "kind"),
-    "SELECT doc_id, (doc_id % 9)::VARCHAR AS label, 'defining' AS kind FROM documents UNION ALL SELECT doc_id, (doc_id % 7) || 'a', 'reference' FROM documents",
+    lambda s, d: idn.mentions(load(s, d, "documents").select("doc_id", F.expr(_TEXT).alias("text"))).select("doc_id", "label", "kind"),
+    "SELECT doc_id, (doc_id % 9)::VARCHAR AS label, 'defining' AS kind FROM documents UNION ALL SELECT doc_id, (doc_id % 7) || 'a', 'reference' FROM documents UNION ALL SELECT doc_id, (doc_id % 5)::VARCHAR, 'reference' FROM documents",
 )
 
 

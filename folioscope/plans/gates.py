@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 
 #: A formula candidate made from each row of documents, the same in Spark and DuckDB.
 _COLUMNS = {
-    "tex": "concat(CASE doc_id % 8 WHEN 0 THEN concat(chr(92), 'frac{a}{b} = x_', doc_id % 5) WHEN 1 THEN 'a + b =' WHEN 2 THEN repeat(concat(chr(92), 'quad '), 9) WHEN 3 THEN 'x = {y' WHEN 4 THEN concat(chr(92), 'begin{align} a ', chr(92), 'end{cases}') WHEN 5 THEN 'a b c d e f' WHEN 6 THEN concat('some prose words without ', lang) ELSE substr(text, 1, 30) END)",
+    "tex": "concat(CASE doc_id % 8 WHEN 0 THEN concat(chr(92), 'frac{a}{b} = x_', doc_id % 5) WHEN 1 THEN 'a + b =' WHEN 2 THEN repeat(concat(chr(92), 'quad '), 9) WHEN 3 THEN 'x = {y' WHEN 4 THEN concat(chr(92), 'begin{align} a ', chr(92), 'end{cases}') WHEN 5 THEN 'a b c d e f' WHEN 6 THEN concat('some prose words without ', lang) ELSE text END)",
     "token": "CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN cast(doc_id % 40 AS varchar(10)) WHEN 2 THEN '2019' WHEN 3 THEN '12%' WHEN 4 THEN 'x' WHEN 5 THEN cast(doc_id AS varchar(10)) ELSE '0' END",
     "status": "CASE doc_id % 3 WHEN 0 THEN 'unnumbered_confirmed' WHEN 1 THEN 'numbered_confirmed' ELSE '' END",
     "context": "CASE doc_id % 5 WHEN 0 THEN 'see Eq. (2019) and Eq. (3)' WHEN 1 THEN 'Table 2 shows' WHEN 2 THEN concat('by Equation (', doc_id % 40, ') we') WHEN 3 THEN 'cost $5' ELSE 'plain' END",

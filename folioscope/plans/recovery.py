@@ -209,7 +209,7 @@ SELECT p_partkey, concat_ws(',', CASE WHEN h > 0 AND y < h - 0.5 THEN 'header_ov
 
 # ---- Texts
 
-_FENCED = "CASE doc_id % 5 WHEN 0 THEN concat(' ```md', chr(10), substr(text, 1, 40), chr(10), '```', chr(10)) WHEN 1 THEN concat('```', chr(10), 'x') WHEN 2 THEN '  ' WHEN 3 THEN 'a' ELSE concat('a', chr(10), '```') END"
-_add("l18_unfenced", lambda s, d: load(s, d, "documents").select("doc_id", ly.unfenced(_e(_FENCED)).alias("text")), "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN rtrim(substr(text, 1, 40), ' ' || chr(9) || chr(10)) || chr(10) WHEN 1 THEN 'x' || chr(10) WHEN 2 THEN '' WHEN 3 THEN 'a' || chr(10) ELSE 'a' || chr(10) || '```' || chr(10) END AS text FROM documents")
+_FENCED = "CASE doc_id % 5 WHEN 0 THEN concat(' ```md', chr(10), text, chr(10), '```', chr(10)) WHEN 1 THEN concat('```', chr(10), 'x') WHEN 2 THEN '  ' WHEN 3 THEN 'a' ELSE concat('a', chr(10), '```') END"
+_add("l18_unfenced", lambda s, d: load(s, d, "documents").select("doc_id", ly.unfenced(_e(_FENCED)).alias("text")), "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN rtrim(text, ' ' || chr(9) || chr(10)) || chr(10) WHEN 1 THEN 'x' || chr(10) WHEN 2 THEN '' WHEN 3 THEN 'a' || chr(10) ELSE 'a' || chr(10) || '```' || chr(10) END AS text FROM documents")
 _add("k05_protected_regions", lambda s, d: rv.spans(load(s, d, "pages").selectExpr("page_id as doc_id", "html as text"), rv.protected_of))
 _add("k09_math_spans", lambda s, d: rv.spans(transcripts(s, d), rv.math_of))

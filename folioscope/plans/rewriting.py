@@ -11,7 +11,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 #: Text with maths, code and rules made from each row of documents, the same in Spark and DuckDB.
-_TEXT = """concat(substr(text, 1, 80), ' ', chr(92), '(a_', doc_id % 5, chr(92), ') ', CASE WHEN doc_id % 3 = 0 THEN concat('`', chr(92), '(code', chr(92), ')` ') ELSE '' END, '(n) ', doc_id % 9, '.5 = x', chr(10),
+_TEXT = """concat(text, ' ', chr(92), '(a_', doc_id % 5, chr(92), ') ', CASE WHEN doc_id % 3 = 0 THEN concat('`', chr(92), '(code', chr(92), ')` ') ELSE '' END, '(n) ', doc_id % 9, '.5 = x', chr(10),
   CASE WHEN doc_id % 2 = 0 THEN concat(chr(92), '[', chr(10), 'y + ', doc_id % 7, chr(10), chr(92), ']', chr(10)) ELSE concat('$$z = ', doc_id % 4, '$$', chr(10)) END, '---', chr(10), CASE WHEN doc_id % 4 = 0 THEN concat('a', chr(9), 'b', chr(10), '1', chr(9), '2', chr(10)) ELSE '' END)"""
 _SRC = f"WITH src AS (SELECT doc_id, {_TEXT} AS text FROM documents) "
 

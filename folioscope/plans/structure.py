@@ -44,7 +44,7 @@ _add("a26_merge_turns", lambda d: bl.merged(d, "conv_id", "turn", "text"), "SELE
 _add("e26_plan_batches", lambda d: bl.batches(d, "pages", 10), "SELECT doc_id, start_page::INT AS start_page, least(start_page + 9, n_chars // 200)::INT AS end_page FROM (SELECT doc_id, n_chars, unnest(range(1, n_chars // 200 + 1, 10)) AS start_page FROM documents WHERE n_chars >= 200)",
      lambda s, d: load(s, d, "documents").select("doc_id", F.expr("n_chars div 200").alias("pages")), "")
 _add("k16_images", lambda d: bl.lines(d).select("doc_id", "pos", F.regexp_extract("line", r"!\[([^\]]*)\]\(([^)]+)\)", 2).alias("path")).where("path <> ''"), rf", {_LINES} SELECT doc_id, pos, regexp_extract(line, '!\[([^\]]*)\]\(([^)]+)\)', 2) AS path FROM l WHERE regexp_extract(line, '!\[([^\]]*)\]\(([^)]+)\)', 2) <> ''")
-_add("k15_parameter_matrix", lambda d: d.select("doc_id").where("doc_id < 3").select("doc_id", F.explode(F.array(*map(F.lit, (2, 3)))).alias("scale")).select("*", F.explode(F.array(*map(F.lit, ("a", "b")))).alias("prep")), "SELECT doc_id, scale, prep FROM documents, (VALUES (2), (3)) s(scale), (VALUES ('a'), ('b')) p(prep) WHERE doc_id < 3", prefix="")
+_add("k15_parameter_matrix", lambda d: d.select("doc_id", F.explode(F.array(*map(F.lit, (2, 3)))).alias("scale")).select("*", F.explode(F.array(*map(F.lit, ("a", "b")))).alias("prep")).select("*", F.explode(F.array(*map(F.lit, ("x", "y", "z")))).alias("model")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("cut")), "SELECT doc_id, scale, prep, model, cut FROM documents, (VALUES (2), (3)) s(scale), (VALUES ('a'), ('b')) p(prep), (VALUES ('x'), ('y'), ('z')) m(model), (VALUES (true), (false)) c(cut)", prefix="")
 
 # ---- LaTeX ----------------------------------------------------------------------------------------------------------
 _TEX = """concat(CASE WHEN doc_id % 2 = 0 THEN '$$ ' ELSE '' END, chr(92), 'mathbf{', lang, '}_{', doc_id % 5, '} = ', chr(92), CASE WHEN doc_id % 3 = 0 THEN 'dfrac{a}{b}' ELSE 'left(x + y' || chr(92) || 'right)' END, CASE WHEN doc_id % 7 = 0 THEN ' {' ELSE '' END,
@@ -84,8 +84,8 @@ _add("h24_tagged_block", lambda d: d.select("doc_id", lx.display_block(lx.with_t
 _add("h61_preservation", lambda d: d.select("doc_id", lx.word_chars(F.col("text")).cast("long").alias("raw"), lx.drop_ratio(F.col("text"), F.col("cleaned")).alias("drop_ratio"), (lx.drop_ratio(F.col("text"), F.col("cleaned")) <= 0.12).alias("ok"), lx.content_hash(F.col("text")).alias("hash")),
      r"""WITH s AS (SELECT doc_id, text, length(regexp_replace(text, '[^\p{L}\p{N}_]', '', 'g')) AS raw, length(regexp_replace(regexp_replace(text, '[a-e]', '', 'g'), '[^\p{L}\p{N}_]', '', 'g')) AS clean FROM documents), r AS (SELECT *, CASE WHEN raw <= 0 THEN 0 ELSE greatest(0, (raw - clean)::DOUBLE / raw) END AS drop_ratio FROM s)
 SELECT doc_id, raw, drop_ratio, drop_ratio <= 0.12 AS ok, left(sha256(text), 16) AS hash FROM r""", lambda s, d: load(s, d, "documents").select("doc_id", "text", F.regexp_replace("text", "[a-e]", "").alias("cleaned")), "")
-_add("g01_jaccard", lambda d: d.select("doc_id", lx.jaccard(F.array_distinct(F.split(F.substring("text", 1, 200), " ")), F.array_distinct(F.split(F.substring("text", 101, 200), " "))).alias("overlap"), lx.stream_percent(10.0, 80.0, F.col("n_chars")).alias("percent")),
-     """WITH s AS (SELECT doc_id, n_chars, list_distinct(string_split(substr(text, 1, 200), ' ')) AS a, list_distinct(string_split(substr(text, 101, 200), ' ')) AS b FROM documents)
+_add("g01_jaccard", lambda d: d.select("doc_id", lx.jaccard(F.array_distinct(F.split("text", " ")), F.array_distinct(F.split(F.replace("text", F.lit("en"), F.lit("an")), " "))).alias("overlap"), lx.stream_percent(10.0, 80.0, F.col("n_chars")).alias("percent")),
+     """WITH s AS (SELECT doc_id, n_chars, list_distinct(string_split(text, ' ')) AS a, list_distinct(string_split(replace(text, 'en', 'an'), ' ')) AS b FROM documents)
 SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS overlap, 10 + 80.0 * n_chars / (n_chars + 400) AS percent FROM s""", lambda s, d: load(s, d, "documents"), "")
 
 # ---- boxes ----------------------------------------------------------------------------------------------------------
@@ -122,13 +122,13 @@ _add("b42_action", lambda d: d.select("doc_id", mt.action(F.expr("CASE doc_id %
 
 def _sides(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
-    probe = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("pid"), F.expr("if(o_orderkey % 2 = 0, o_orderkey, null)").alias("k1"), F.col("o_custkey").alias("k2"))
-    return mt.cascade(probe, o.where("o_orderkey % 4 <> 1").select(F.col("o_orderkey").alias("bid"), F.col("o_orderkey").alias("k1"), F.col("o_custkey").alias("k2")), "pid", [("k1",), ("k2",)], "bid", "bid")
+    probe = o.select(F.col("o_orderkey").alias("pid"), F.expr("if(o_orderkey % 2 = 0, o_orderkey, null)").alias("k1"), F.expr("if(o_orderkey % 3 = 0, -o_custkey, o_custkey)").alias("k2"))
+    return mt.cascade(probe, o.select(F.expr("if(o_orderkey % 4 <> 1, o_orderkey, -o_orderkey)").alias("bid"), F.expr("if(o_orderkey % 4 <> 1, o_orderkey, -o_orderkey)").alias("k1"), F.col("o_custkey").alias("k2")), "pid", [("k1",), ("k2",)], "bid", "bid")
 
 
-_add("c02_cascade", lambda d: d, """WITH p AS (SELECT o_orderkey AS pid, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS k1, o_custkey AS k2 FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT o_orderkey AS bid, o_custkey AS k2 FROM orders WHERE o_orderkey % 4 <> 1),
+_add("c02_cascade", lambda d: d, """WITH p AS (SELECT o_orderkey AS pid, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS k1, CASE WHEN o_orderkey % 3 = 0 THEN -o_custkey ELSE o_custkey END AS k2 FROM orders), b AS (SELECT CASE WHEN o_orderkey % 4 <> 1 THEN o_orderkey ELSE -o_orderkey END AS bid, o_custkey AS k2 FROM orders),
 c AS (SELECT k2, min(bid) AS m FROM b GROUP BY k2), j AS (SELECT pid, coalesce(bid, m) AS "match", CASE WHEN bid IS NOT NULL THEN 0 ELSE 1 END AS tier FROM p LEFT JOIN b ON p.k1 = b.bid LEFT JOIN c ON p.k2 = c.k2)
 SELECT pid, "match", tier FROM j WHERE "match" IS NOT NULL QUALIFY row_number() OVER (PARTITION BY "match" ORDER BY tier, pid) = 1""", _sides, "")
-_add("c12_enriched", lambda d: d, """SELECT doc_id, lang, quality, CASE WHEN d.doc_id IS NULL THEN 'right_only' WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l USING (doc_id)""".replace("SELECT doc_id, lang, quality", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality").replace("USING (doc_id)", "ON d.doc_id = l.doc_id"),
-     lambda s, d: mt.enriched(load(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", "lang"), load(s, d, "labels").select("doc_id", "quality"), "doc_id"), "")
+_add("c12_enriched", lambda d: d, """SELECT doc_id, lang, quality, CASE WHEN d.doc_id IS NULL THEN 'right_only' WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'both' END AS side FROM (SELECT * REPLACE (CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE -doc_id END AS doc_id) FROM documents) d FULL JOIN labels l USING (doc_id)""".replace("SELECT doc_id, lang, quality", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality").replace("USING (doc_id)", "ON d.doc_id = l.doc_id"),
+     lambda s, d: mt.enriched(load(s, d, "documents").select(F.expr("if(doc_id % 2 = 0, doc_id, -doc_id)").alias("doc_id"), "lang"), load(s, d, "labels").select("doc_id", "quality"), "doc_id"), "")
 _add("c08_latest_outcome", lambda d: mt.latest(d, "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey"), "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1", lambda s, d: load(s, d, "orders"), "")

@@ -10,7 +10,7 @@ from folioscope.sources.tables import load
 
 #: A transcript made from each row of documents, the same in Spark and DuckDB.
 TRANSCRIPT = """concat(CASE WHEN doc_id % 5 = 0 THEN concat('Sidebar title', chr(10), 'One', chr(10), 'Two', chr(10), 'Three', chr(10), 'Four', chr(10), 'Five', chr(10), 'Six', chr(10), 'Seven', chr(10)) ELSE '' END,
-  CASE WHEN doc_id % 7 <> 0 THEN concat('<!-- DOC:PAGE:000', doc_id % 3 + 1, ' -->', chr(10)) ELSE '' END, substr(text, 1, 700), chr(10), '<!-- DOC:PAGE_END:000', doc_id % 3 + 1, ' -->', chr(10),
+  CASE WHEN doc_id % 7 <> 0 THEN concat('<!-- DOC:PAGE:000', doc_id % 3 + 1, ' -->', chr(10)) ELSE '' END, text, chr(10), '<!-- DOC:PAGE_END:000', doc_id % 3 + 1, ' -->', chr(10),
   CASE WHEN doc_id % 4 = 0 THEN concat('<!-- DOC:PAGE:000', doc_id % 2 + 2, ' -->', chr(10), '| a | b |', chr(10), '$$x$$', chr(10), '<!-- DOC:FIGURE:p0002:f0', doc_id % 2 + 1, ' -->', chr(10), 'Fig. ', doc_id % 6 + 1, ': ', lang, chr(10)) ELSE '' END,
   CASE WHEN doc_id % 6 = 0 THEN concat('<!-- DOC:PAGE:0002 -->', chr(10), 'short 1,$234 and de fi ne a', chr(92), '_b max value 12.5% 1,234,567', chr(10), '<!-- DOC:FIGURE:p0002:f01 -->', chr(10)) ELSE '' END,
   CASE WHEN doc_id % 9 = 0 THEN repeat('K. ', 25) WHEN doc_id % 9 = 1 THEN concat(repeat('k', 45), ' min') ELSE '' END)"""
@@ -49,17 +49,21 @@ p AS (SELECT *, CASE WHEN regexp_matches(line, '^\\s*<!--\\s*DOC:PAGE:(\\d{4})\\
 SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM f WHERE page IS NULL OR pos = first GROUP BY doc_id""")
 _add("b33_degenerate", lambda d: d.select("doc_id", tr.degenerate(F.col("text")).alias("degenerate"), tr.references_heavy(F.col("text")).alias("references_heavy"), tr.lacks_structure(F.col("text")).alias("lacks_structure"), F.when(F.col("doc_id") % 7 != 0, tr.contaminated(F.col("text"))).alias("contaminated")), """
 SELECT doc_id, doc_id % 9 IN (0, 1) AS degenerate, regexp_matches(substr(text, 1, 12000), '(?i)\\bReferences\\b') OR regexp_matches(substr(text, 1, 12000), '\\[\\d{1,3}\\].{10,}https?://') AS references_heavy,
-  CASE WHEN text = '' THEN true WHEN regexp_matches(text, '(?m)^#{1,4}\\s') OR regexp_matches(text, '(?m)^\\|[^\\n]+\\|') OR length(text) < 800 THEN false ELSE regexp_matches(text, '\\d+\\.\\d+\\s{2,}[A-Z]') AND len(regexp_extract_all(text, '\\n\\n')) < 10 END AS lacks_structure,
+  CASE WHEN text = '' THEN true WHEN regexp_matches(text, '(?m)^#{1,4}\\s') OR regexp_matches(text, '(?m)^\\|[^\\n]+\\|') OR length(text) < 800 THEN false ELSE (length(text) > 3000 AND len(regexp_extract_all(text, '\\n')) < greatest(8, floor(length(text) / 800.0))) OR (length(text) > 5000 AND len(regexp_extract_all(text, '\\n\\n')) < 6) OR regexp_matches(text, 'DOC:PAGE:\\d{4} -->[^\\n]{40,}') OR (regexp_matches(text, '\\d+\\.\\d+\\s{2,}[A-Z]') AND len(regexp_extract_all(text, '\\n\\n')) < 10) END AS lacks_structure,
   CASE WHEN doc_id % 7 <> 0 THEN doc_id % 5 = 0 END AS contaminated FROM src""")
-_add("f03_best_transcript", lambda d: pg.best_transcript(d.withColumn("source", F.lit("b")).select("doc_id", "source", "text").unionByName(d.select("doc_id", F.lit("a").alias("source"), F.substring("text", 1, 300).alias("text")))))
+_add("f03_best_transcript", lambda d: pg.best_transcript(d.withColumn("source", F.lit("b")).select("doc_id", "source", "text").unionByName(d.select("doc_id", F.lit("a").alias("source"), F.regexp_replace("text", "[#|]", "").alias("text")))))
 _add("h33_directions", lambda d: d.select("doc_id", tr.directions(F.col("text"))[0].alias("maximum"), tr.directions(F.col("text"))[1].alias("minimum"), tr.direction_conflict(F.col("text"), F.expr("if(doc_id % 2 = 0, 'arg min x', 'max y')"), F.expr("if(doc_id % 3 = 0, 'minimum', '')")).alias("conflict")), r"""
 , f AS (SELECT doc_id, regexp_matches(text, '(?i)\\max(?:\b|_)|\bmaxim(?:is|um|ize|ise)\b|\bmax\b|arg\s*\\?max|argmax|r\s*\^\s*\{?\s*\*') AS hi, regexp_matches(text, '(?i)\\min(?:\b|_)|\bminim(?:is|um|ize|ise)\b|\bmin\b|arg\s*\\?min|argmin') AS lo FROM src)
 SELECT doc_id, hi AS maximum, lo AS minimum, CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 <> 0 ELSE (hi AND doc_id % 2 = 0) OR (lo AND doc_id % 2 <> 0) END AS conflict FROM f""")
 # ASCII only: RE2 sees a word boundary at an accented letter, Java does not
-_add("h62_anchors", lambda d: d.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", " ")).select("doc_id", tr.anchors(F.col("text")).alias("a"), F.substring("text", 1, 400).alias("t")).select("doc_id", F.size("a").cast("long").alias("n_anchors"), F.size(tr.missing_anchors(F.col("a"), F.col("t"))).cast("long").alias("n_missing")), r"""
-, u AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', ' ', 'g') AS text FROM src), t AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS t FROM u), f AS (SELECT *, list_filter(list_concat(regexp_extract_all(t, '\d+(?:[.,]\d+)+|\d{5,}|\d+(?:\.\d+)?%'), regexp_extract_all(t, '\b[A-Za-z][A-Za-z0-9\-]{5,}\b')), lambda a: NOT regexp_matches(a, '(?i)^(?:\d{7}\.\d{7}|\d{4}|\[\d{1,3}\]|10\.\d+.*|\d{1,4})$') AND length(a) >= 3) AS k FROM t),
-a AS (SELECT doc_id, lower(substr(text, 1, 400)) AS low, CASE WHEN length(t) < 80 THEN [] ELSE list_filter(k, lambda x, i: list_position(k, x) = i)[1:48] END AS a FROM f)
-SELECT doc_id, len(a) AS n_anchors, len(list_filter(a, lambda x: NOT (contains(low, lower(x)) OR (regexp_matches(x, '\d') AND contains(regexp_replace(low, '[,\s]', '', 'g'), regexp_replace(lower(x), '[,\s]', '', 'g')))))) AS n_missing FROM a""")
+_add("h62_anchors", lambda d: d.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", " ")).select("doc_id", tr.anchors(F.col("text")).alias("a"), F.regexp_replace("text", "[eE]n", "").alias("t")).select("doc_id", F.array_join("a", "|").alias("anchors"), F.size(tr.missing_anchors(F.col("a"), F.col("t"))).cast("long").alias("n_missing")), r"""
+, u AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', ' ', 'g') AS text FROM src), t AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS t FROM u),
+f AS (SELECT *, regexp_extract_all(t, '(?i)\b0\.\d{2,}\b|\b[1-9]\d*\.\d+\b|\b\d+\.\d+%\b|\bN\s*=\s*[\d,]+\b|(?:Eq\.|Equation)\s*\(?\d+\)?|(?:Table|Fig\.|Figure)\s+\d+') AS k, regexp_extract_all(t, '\b[A-Za-z][A-Za-z0-9\-]{5,}\b') AS w FROM t WHERE length(t) >= 80),
+e AS (SELECT doc_id, lower(trim(x)) AS x, 0 AS kind, pos FROM (SELECT doc_id, unnest(k) AS x, generate_subscripts(k, 1) AS pos FROM f) UNION ALL SELECT doc_id, lower(x), 1, pos FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS pos FROM f) WHERE regexp_matches(x, '[A-Za-z]{3,}') AND lower(x) NOT IN (SELECT unnest(string_split('""" + " ".join(tr.ANCHOR_STOP_WORDS) + r"""', ' ')))),
+g AS (SELECT doc_id, x, min(kind * 1000000000 + pos) AS place FROM e WHERE NOT regexp_matches(x, '(?i)^(?:\d{7}\.\d{7}|\d{4}|\[\d{1,3}\]|10\.\d+.*|\d{1,4})$') AND length(x) >= 3 GROUP BY doc_id, x),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, place >= 1000000000 ORDER BY place) AS n, count(*) FILTER (place < 1000000000) OVER (PARTITION BY doc_id) AS numbers FROM g),
+l AS (SELECT r.doc_id, r.x, r.place, contains(lower(regexp_replace(text, '[eE]n', '', 'g')), x) OR (regexp_matches(x, '\d') AND contains(regexp_replace(lower(regexp_replace(text, '[eE]n', '', 'g')), '[,\s]', '', 'g'), regexp_replace(x, '[,\s]', '', 'g'))) AS there FROM r JOIN u USING (doc_id) WHERE place < 1000000000 OR n <= greatest(1, 48 - numbers))
+SELECT doc_id, coalesce(string_agg(x, '|' ORDER BY place), '') AS anchors, count(*) FILTER (NOT there) AS n_missing FROM (SELECT doc_id FROM src) LEFT JOIN l USING (doc_id) GROUP BY doc_id""")
 _add("l22_cleaned", lambda d: d.select("doc_id", tr.cleaned(F.col("text")).alias("cleaned"), tr.repaired_prose(F.col("text")).alias("repaired")), r"""
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<!--\s*DOC:PAGE(?:_END)?:(\d{4})\s*-->', '', 'g'), '(?m)^\s*---+\s*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) AS cleaned,
   regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(text, '(\d+),\$(\d{3})\b', '\1,\2', 'g'), '(\d+)\$,(\d{3})\b', '\1,\2', 'g'), chr(92) || '_', '_'), '\b([A-Za-z]+)\s+fi\s+([A-Za-z]+)\b', '\1fi\2', 'g'), '\n\n(\d{1,2})\n\n', chr(10) || chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g') AS repaired FROM src""")

@@ -158,7 +158,7 @@ def test_corruption(spark):
 
     rows = [("ok", "\\frac{a}{b} = c"), ("quads", "\\quad " * 9 + "x"), ("braces", "x = {y"), ("env", "\\begin{align} a \\end{cases}"), ("letters", "a b c d e f"), ("empty", "")]
     got = {r.k: r.q for r in spark.createDataFrame(rows, "k string, t string").select("k", gates.corruption(F.col("t")).alias("q")).collect()}
-    assert got["ok"].valid and got["ok"].corruption == 0 and got["ok"].reasons == "" and got["empty"].valid
+    assert got["ok"].valid and got["ok"].corruption == 0 and got["ok"].reasons == "" and got["empty"].reasons == "empty_brace_garbage"
     assert not got["quads"].valid and "quad_run" in got["quads"].reasons and "spacing_only_ratio" in got["quads"].reasons
     assert got["braces"].syntax == 0.4 and not got["braces"].valid and got["env"].syntax == 0.3 and got["letters"].corruption == 0.85
 
