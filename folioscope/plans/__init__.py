@@ -1,5 +1,5 @@
 """Registered queries and their oracles."""
 
-from folioscope.plans import attempts, documents, evidence, gates, reconcile, recovery, rewriting, routing, structure, transcripts
+from folioscope.plans import attempts, documents, evidence, forms, gates, reconcile, recovery, rewriting, routing, structure, transcripts
 
-PLANS = (attempts, documents, structure, routing, transcripts, gates, rewriting, reconcile, recovery, evidence)
+PLANS = (attempts, documents, structure, routing, transcripts, gates, rewriting, reconcile, recovery, evidence, forms)
