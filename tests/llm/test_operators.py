@@ -416,7 +416,7 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "source_mix"]
     docs = table(spark, "documents")
     labels = table(spark, "labels")
-    items = [re.findall("[a-z0-9]+|[\x80-\xff]+", r.text.encode().decode("latin-1").lower()) for r in table(spark, "benchmark").collect()]
+    items = [ascii_tokens(r.text) for r in table(spark, "benchmark").collect()]
     grams = {tuple(x[i : i + 3]) for x in items for i in range(len(x) - 2)}  # of a window that agrees, some three in a row do
     toxic = {r.doc_id for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("predicted = 1").collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic]
@@ -424,7 +424,7 @@ def test_pipeline(spark, tmp_path):
     rows = [r for r, c in zip(rows, near_classes(sets, [d for d, _ in rows])) if r[0] == c]
     clean = {}
     for d, text in rows:
-        have = re.findall("[a-z0-9]+|[\x80-\xff]+", "".join(c.lower() if c < "\x80" else c for c in text.encode().decode("latin-1")))
+        have = ascii_tokens(text)
         if not any(tuple(have[i : i + 3]) in grams for i in range(len(have))) or not any(brute_overlap(x, have) for x in items):
             clean[d] = text
     got = corpus_pipeline.run(spark, SF).toPandas()
@@ -436,6 +436,11 @@ def test_pipeline(spark, tmp_path):
         assert not any(m in text for m in mails) and text.count("[EMAIL]") >= bool(mails) and (text == clean[d] or "[" in text)
 
 
+def ascii_tokens(text):
+    """Runs of ASCII letters and digits and of bytes over 0x7F, A-Z lower-cased."""
+    return [t.decode("latin-1") for t in re.findall(rb"[a-z0-9\x80-\xff]+", text.encode().lower())]
+
+
 def near_classes(sets, ids, similarity=0.8):
     up, seen = list(range(len(sets))), {}
 
