@@ -29,79 +29,82 @@ def _per_text(docs: DataFrame, column: str, function, name: str, kind: str) -> D
 # ---- HTML
 
 
+#: What a tag writes where it opens and where it closes.
+_MARKS = {
+    **{f"h{n}": ("\n\n" + "#" * n + " ", "\n\n") for n in range(1, 7)},
+    **{tag: (mark, mark) for mark, tags in {"\n\n": "p", "**": "strong b", "*": "em i", "\n": "ul ol"}.items() for tag in tags.split()},
+    "br": ("\n", ""),
+}
+
+
+def _grid(rows: list[list[str]]) -> str:
+    drawn = ["| " + " | ".join(r) + " |" for r in rows]
+    rule = ["| " + " | ".join(["---"] * len(rows[0])) + " |"] if len(rows) > 1 else []
+    return "\n\n" + "\n".join(drawn[:1] + rule + drawn[1:]) + "\n\n" if rows else ""
+
+
 class _Markdown(HTMLParser):
-    """Writes Markdown while it reads; text goes to the innermost open sink (page, preformatted block or table cell)."""
+    """Most tags only write their marks; the others change a state, by (tag, whether it closes).
 
-    BOTH = {"strong": "**", "b": "**", "em": "*", "i": "*"}
-    SILENT = ("script", "style", "head")
+    Text goes to the innermost open block (cell or preformatted), else to the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.sinks: list[list[str]] = [[]]
+        self.blocks: list[list[str]] = [[]]
         self.rows: list[list[str]] = []
-        self.depth = self.silent = 0
-
-    def put(self, text: str) -> None:
-        if not self.silent:
-            self.sinks[-1].append(text)
+        self.lists = self.unseen = 0
+        block = {(t, False): lambda: self.blocks.append([]) for t in ("pre", "td", "th")}
+        cell = {(t, True): lambda: self._leave(self._cell) for t in ("td", "th")}
+        lists = {(t, c): lambda by=-1 if c else 1: self._nest(by) for t in ("ul", "ol") for c in (False, True)}
+        unseen = {(t, c): lambda by=-1 if c else 1: self._hide(by) for t in ("script", "style", "head") for c in (False, True)}
+        self.acts = {
+            **block, **cell, **lists, **unseen, ("pre", True): lambda: self._leave(lambda t: self.handle_data("\n\n```\n" + t.strip("\n") + "\n```\n\n")),
+            ("li", False): lambda: self.handle_data("\n" + "  " * max(0, self.lists - 1) + "- "), ("tr", False): lambda: self.rows.append([]),
+            ("table", False): lambda: self.rows.clear(), ("table", True): self._draw, ("code", False): self._tick, ("code", True): self._tick,
+        }
 
     def handle_data(self, data):
-        self.put(data)
+        if not self.unseen:
+            self.blocks[-1].append(data)
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.SILENT:
-            self.silent += 1
-        elif re.fullmatch("h[1-6]", tag):
-            self.put("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag in self.BOTH:
-            self.put(self.BOTH[tag])
-        elif tag == "code" and len(self.sinks) == 1:
-            self.put("`")
-        elif tag in ("p", "br"):
-            self.put("\n" if tag == "br" else "\n\n")
-        elif tag in ("ul", "ol"):
-            self.depth += 1
-            self.put("\n")
-        elif tag == "li":
-            self.put("\n" + "  " * max(0, self.depth - 1) + "- ")
-        elif tag in ("pre", "td", "th"):
-            self.sinks.append([])
-        elif tag == "table":
-            self.rows = []
-        elif tag == "tr":
-            self.rows.append([])
+        self._meet(tag, False)
 
     def handle_endtag(self, tag):
-        if tag in self.SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag == "p" or re.fullmatch("h[1-6]", tag):
-            self.put("\n\n")
-        elif tag in self.BOTH:
-            self.put(self.BOTH[tag])
-        elif tag == "code" and len(self.sinks) == 1:
-            self.put("`")
-        elif tag in ("ul", "ol"):
-            self.depth = max(0, self.depth - 1)
-            self.put("\n")
-        elif tag in ("pre", "td", "th") and len(self.sinks) > 1:
-            inner = "".join(self.sinks.pop())
-            if tag == "pre":
-                self.put("\n\n```\n" + inner.strip("\n") + "\n```\n\n")
-            elif self.rows:
-                self.rows[-1].append(" ".join(inner.split()).replace("|", "\\|"))
-        elif tag == "table":
-            drawn = ["| " + " | ".join(r) + " |" for r in self.rows if r]
-            if len(drawn) > 1:
-                drawn.insert(1, "| " + " | ".join(["---"] * len(next(r for r in self.rows if r))) + " |")
-            self.put("\n\n" + "\n".join(drawn) + "\n\n" if drawn else "")
-            self.rows = []
+        self._meet(tag, True)
+
+    def _meet(self, tag: str, closes: bool) -> None:
+        self.handle_data(_MARKS.get(tag, ("", ""))[closes])
+        self.acts.get((tag, closes), lambda: None)()
+
+    def _nest(self, by: int) -> None:
+        self.lists = max(0, self.lists + by)
+
+    def _hide(self, by: int) -> None:
+        self.unseen = max(0, self.unseen + by)
+
+    def _tick(self) -> None:
+        self.handle_data("`" if len(self.blocks) == 1 else "")
+
+    def _leave(self, then) -> None:
+        if len(self.blocks) > 1:
+            then("".join(self.blocks.pop()))
+
+    def _cell(self, text: str) -> None:
+        if self.rows:
+            self.rows[-1].append(" ".join(text.split()).replace("|", "\\|"))
+
+    def _draw(self) -> None:
+        self.handle_data(_grid([r for r in self.rows if r]))
+        self.rows.clear()
 
 
 def markdown_of(html: str) -> str:
     parser = _Markdown()
     parser.feed(html)
     parser.close()
-    return re.sub(r"\n{3,}", "\n\n", "".join("".join(s) for s in parser.sinks)).strip()
+    return re.sub(r"\n{3,}", "\n\n", "".join("".join(b) for b in parser.blocks)).strip()
 
 
 def html_to_markdown(pages: DataFrame) -> DataFrame:
