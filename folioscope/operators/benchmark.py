@@ -6,22 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(values: str, q: float, *keys: str) -> tuple[Column, Column]:
-    """(row number, wanted row number) of the nearest-rank percentile, half to even, in a window over keys."""
-    w = Window.partitionBy(*keys)
-    return F.row_number().over(w.orderBy(values)), F.bround(F.lit(q / 100.0) * (F.count("*").over(w) - 1), 0).cast("int") + 1
+#: Accuracy of the sketch that brackets a percentile, and half the width of the bracket, both as shares of the rows.
+ACCURACY, REACH = 10_000, 0.0005
+#: Up to so many rows the bracket is all of a key's values, as one row is then a larger share than the bracket's width.
+FEW = 10_000
+
+
+def nearest_ranks(rows: DataFrame, key: str, value: str, percents: tuple[int, ...], **also: Column) -> DataFrame:
+    """key, p<percent>...: exact nearest-rank percentiles (half to even, nulls first) of a number for each key, and aggregates.
+
+    A mergeable sketch brackets each percentile; in a second pass the values below a bracket are counted and those inside
+    it, one row a distinct value, are ranked. So no key's rows are sorted in one task, however many it has.
+    """
+    place = F.coalesce(F.col(value).cast("double"), F.lit(float("-inf")))
+    around = [x for p in percents for x in (max(0.0, p / 100 - REACH), min(1.0, p / 100 + REACH))]
+    keep = {f"_{name}": column for name, column in also.items()} | {"_n": F.count("*")}
+    bounds = rows.groupBy(key).agg(F.percentile_approx(place, around, ACCURACY).alias("_b"), F.min(place).alias("_min"), F.max(place).alias("_max"), *[c.alias(name) for name, c in keep.items()])
+
+    def part(i):
+        few = F.col("_n") <= FEW
+        low, high = F.when(few, F.col("_min")).otherwise(F.col("_b")[2 * i]), F.when(few, F.col("_max")).otherwise(F.col("_b")[2 * i + 1])
+        return F.when(F.col("_p") <= high, F.struct(F.lit(i).alias("i"), (F.col("_p") >= low).alias("inside"), F.when(F.col("_p") >= low, F.col("_v")).alias("v")))
+
+    met = rows.select(key, F.col(value).alias("_v"), place.alias("_p")).join(bounds, key)
+    counted = met.select(key, *keep, F.explode(F.array(*[part(i) for i in range(len(percents))])).alias("_r")).where("_r is not null")
+    counted = counted.groupBy(key, "_r.i", "_r.inside", "_r.v").agg(F.count("*").alias("_c"), *[F.first(name).alias(name) for name in keep])
+    ranked = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(key, "i").orderBy("inside", "v")))
+    reached = lambda i, p: F.col("inside") & (F.col("i") == i) & (F.col("_upto") > F.bround(F.lit(p / 100.0) * (F.col("_n") - 1), 0))
+    found = [F.min(F.when(reached(i, p), F.struct("_upto", "v")))["v"].alias(f"p{p}") for i, p in enumerate(percents)]
+    return ranked.groupBy(key).agg(*[F.first(f"_{name}").alias(name) for name in also], *found)
 
 
 def slices(cases: DataFrame, *by: str) -> DataFrame:
     """cases: passed, latency and the columns by. Cases, pass rate and p50 / p95 latency, over all and by each column."""
     parts = F.explode(F.array(F.lit("overall"), *[F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in by])).alias("slice")
     each = cases.select(parts, "passed", "latency").where("slice is not null")
-    at, p50 = nearest_rank("latency", 50, "slice")
-    _, p95 = nearest_rank("latency", 95, "slice")
-    ranked = each.withColumn("_at", at).withColumn("_50", p50).withColumn("_95", p95)
-    return ranked.groupBy("slice").agg(
-        F.count("*").alias("cases"), F.avg(F.col("passed").cast("int")).alias("pass_rate"), F.max(F.expr("if(_at = _50, latency, null)")).alias("p50"), F.max(F.expr("if(_at = _95, latency, null)")).alias("p95")
-    )
+    return nearest_ranks(each, "slice", "latency", (50, 95), cases=F.count("*"), pass_rate=F.avg(F.col("passed").cast("int")))
+
+
+def match_summary(reports: DataFrame, *keys: str) -> DataFrame:
+    """exact, edit_ratio, compile_ok -> formulas, rate of exact ones, mean edit ratio and rate of those that compile."""
+    mean = lambda c, name: F.round(F.avg(F.col(c).cast("double")), 4).alias(name)
+    return reports.withColumns({c: F.col(c).cast("int") for c in ("exact", "compile_ok")}).groupBy(*keys).agg(F.count("*").alias("n"), mean("exact", "exact_rate"), mean("edit_ratio", "mean_edit_ratio"), mean("compile_ok", "compile_rate"))
 
 
 def delta(baseline: DataFrame, candidate: DataFrame) -> DataFrame:

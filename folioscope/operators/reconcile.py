@@ -54,13 +54,20 @@ def keep_verified(new: DataFrame, old: DataFrame, key: str, columns: tuple[str,
     return new.join(o, key, "left").select(key, *[F.when(keep, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns], keep.alias("verified"))
 
 
+def keep_filled(new: DataFrame, old: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """new, with old's value where new has none ("" counts as none); null if neither has one and new's is null."""
+    o = old.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    none = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    return new.join(o, key, "left").select(key, *[F.when(none(c) & ~none(f"_{c}"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+
+
 def review_queue(parts: list[DataFrame], rejected: DataFrame, key: str) -> DataFrame:
-    """Rows of several sources, the first source of a key counting, without the rejected ones."""
+    """Rows of several sources, the first source of a key counting (ties: the least row as JSON), without the rejected ones."""
     rows = None
     for i, part in enumerate(parts):
         tagged = part.withColumn("source_rank", F.lit(i))
         rows = tagged if rows is None else rows.unionByName(tagged)
-    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("source_rank"))).where("_r = 1").drop("_r")
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("source_rank", F.to_json(F.struct(*rows.columns))))).where("_r = 1").drop("_r")
     return first.join(rejected.select(key), key, "left_anti")
 
 
