@@ -47,3 +47,12 @@ def issues(a: Column, page: Column, width: float, height: float, margin: float =
         F.when((a["x0"] < margin) | (a["x1"] > width - margin), "bbox_near_x_edge"), F.when((a["y0"] < margin) | (a["y1"] > height - margin), "bbox_near_y_edge"),
     )
     return F.filter(why, lambda x: x.isNotNull())
+
+
+def rounded(a: Column, digits: int = 1) -> Column:
+    return F.struct(*[F.bround(a[c].cast("double"), digits).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def vertically_distinct(a: Column, b: Column, least: float = 22.0) -> Column:
+    """Whether the middles of two boxes lie further apart than ``least``, up or down."""
+    return F.abs((a["y0"] + a["y1"]) * 0.5 - (b["y0"] + b["y1"]) * 0.5) > least

@@ -123,6 +123,13 @@ def conflict_penalty(conflict: Column, total: Column, number_class: Column) -> C
     return F.when(weak & (share > 0.4), F.round(F.least(F.lit(0.3), share * 0.4), 4)).otherwise(F.lit(0.0))
 
 
+def lost_anchors(numbers: Column, text: Column, most: int = 8) -> Column:
+    """Numeric anchors of a page that its transcript lacks; none unless three or more, and half of them, are missing."""
+    missing = tr.missing_anchors(numbers, _text(text))
+    grave = (F.size(numbers) >= 2) & (F.size(missing) >= 3) & (F.size(missing) >= F.floor(F.size(numbers) / 2))
+    return F.when(grave, F.slice(missing, 1, most)).otherwise(F.array().cast("array<string>"))
+
+
 def recovered(text: Column, signatures: tuple[str, ...], sidebar: tuple[str, ...] = (), most: int = 4500, most_sidebar: int = 1200) -> Column:
     """A transcript from its first page marker on; empty if all of it is the request or a sidebar."""
     t = F.replace(_text(text), F.lit("\r\n"), F.lit("\n"))

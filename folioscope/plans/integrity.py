@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope.functions import boxes as bx
 from folioscope.functions import forms as fm
 from folioscope.functions import integrity as it
 from folioscope.functions import latex as lx
@@ -43,6 +44,8 @@ _by_case("b41_validation_class", [("模型输出退化（x）", "MODEL_DEGENERAT
                                   ("EXTRACTION_UNSTABLE", "EXTRACTION_UNSTABLE"), ("copy 未触发", "COPY_NOT_FIRED"), ("copy", "EXTRACTION_CONFLICT"), ("", "EXTRACTION_CONFLICT")], lambda t: it.validation_class(F.split(t, ";")))
 _by_case("b55_contaminated_formula", [("x = 1", "false"), ("f(a)(b)(c) \\frac \\quad", "true"), ("\\quad{}\\quad", "true"), ("by Eq. (3)", "true"), ("THE MODEL", "true"), ("", "false"), ("(a)(b)(c) \\frac", "false")], lambda t: _bool(it.contaminated_formula(t)))
 _by_case("b58_slot_conflict", [("isotonic  fit", "\\frac{Pr(M}{1}", "isotonic"), ("the Bayes\nfactor", "x_{i-1}", "bayes"), ("a random walk", "H_{lc}", "transition"), ("a random walk", "x", ""), ("plain", "H_{lc}", ""), ("isotonic", "pr(m", ""), ("isotonic" + " " + "z" * 300, "\\frac{Pr(M}{1}", ""), ("", "", "")], it.slot_conflict)
+_by_case("c22_lost_anchors", [("0.11 0.22 0.33", "none of them", "0.11,0.22,0.33"), ("0.11 0.22 0.33", "only 0.33", ""), ("0.11", "", ""), ("1 2 3 4 5 6 7 8 9", "", "1,2,3,4,5,6,7,8"), ("1,234 0.5 0.6 0.7 n=1 n=2 n=3 n=4", "1234 and 0.5, N = 1, n=2", "0.6,0.7,n=3,n=4"), ("", "", "")],
+         lambda a, t: _list(it.lost_anchors(F.filter(F.split(a, " "), lambda x: x != ""), t)))
 _by_case("c26_identity_conflict", [("page7_eq6", "FPR = a", "true"), ("page7_eq6", "FPR = 1 - TPR", "false"), ("page7_eq7", "tpr=b", "true"), ("page7_eq7", "FPR = a", "false"), ("page7_eq8", "FPR = a", "false"), ("page7_eq6", "FPR", "false"), ("", "", "false")], lambda n, t: _bool(it.identity_conflict(n, t)))
 _by_case("h42_context_window", [("Alpha beta gamma\n\nx\n\nDelta words here", "Alpha beta gamma\n\nDelta words here"), ("One two three\n<!-- formula-not-decoded -->\nfour five six", "One two three\n\nfour five six"), ("", "")],
          lambda t: it.context_window(t, F.length(t)))
@@ -63,6 +66,11 @@ _by_case("h90_display_only", [("x", "false"), ("", "true"), ("a\nb", "true"), ("
 _by_case("h94_subfigure_labels", [("(a) one (b) two (A) again", "a,b"), ("(iv) and (x)", "iv,x"), ("(ab)", ""), ("", "")], lambda t: _list(lx.subfigures(t)))
 _by_case("h98_compatible", [("qa", "1.7", "true"), ("qa", "2.0", "false"), ("run", "", "true"), ("run", " 1 ", "true"), ("other", "1.0", "false"), ("qa", "one", "false")], lambda s, v: _bool(it.compatible(s, v, {"document_ir": "1.0", "qa": "1.0", "run": "1.0", "provider": "1.0"})))
 
+_box = lambda t: F.struct(*[F.split(t, ",")[i].cast("double").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+_by_case("i24_vertically_distinct", [("0,0,9,10", "0,30,9,50", "true"), ("0,0,9,10", "0,20,9,30", "false"), ("0,0,9,10", "0,22,9,32", "false"), ("0,60,9,70", "0,0,9,10", "true")], lambda a, b: _bool(bx.vertically_distinct(_box(a), _box(b))))
+_by_case("i30_box_area", [("0,0,4,5", "20.0"), ("4,0,0,5", "0.0"), ("1,1,1,9", "0.0"), ("-1,-1,1,1", "4.0")], lambda t: bx.area(_box(t)).cast("string"))
+_by_case("i32_rounded_box", [("0.24,0.26,1,10.04", "0.2,0.3,1.0,10.0"), ("5,6,7,8", "5.0,6.0,7.0,8.0")], lambda t: F.concat_ws(",", *[bx.rounded(_box(t))[c].cast("string") for c in ("x0", "y0", "x1", "y1")]))
+
 _PAIRS = (("a = b", "a=b", 1, 0.0, 1), ("a = b + c", "a = b", 0, 0.6667, 1), ("\\frac{a}{b", "\\frac{a}{b}", 1, 0.0, 0), ("x", "y", 0, 1.0, 1))
 
 
