@@ -1,5 +1,5 @@
 """Registered queries and their oracles."""
 
-from folioscope.plans import attempts, documents, evidence, files, forms, gates, integrity, reconcile, recovery, rewriting, routing, structure, transcripts
+from folioscope.plans import attempts, documents, evidence, fences, files, forms, gates, integrity, reconcile, recovery, rewriting, routing, structure, transcripts
 
-PLANS = (attempts, documents, structure, routing, transcripts, gates, rewriting, reconcile, recovery, evidence, forms, integrity, files)
+PLANS = (attempts, documents, structure, routing, transcripts, gates, rewriting, reconcile, recovery, evidence, forms, integrity, fences, files)
