@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import transcript as tr
 from folioscope.functions.forms import compiles
-from folioscope.functions.text import strip
+from folioscope.functions.text import page_type, strip
 
 # Fixed values.
 DOLLAR = r"(?<!\\)\$"
@@ -15,6 +15,8 @@ AMOUNT = r"^\d[\d.,]*(?:\s|[.,;:!?)\]-])"
 WHOLE_AMOUNT = r"^\d[\d.,]*$"
 DISPLAY_ODD = "行间公式 $$ 围栏不成对"
 INLINE_ODD = "行内公式 $ 围栏可能不成对"
+HIGH_RISK_PAGES = ("empty", "text_short")
+PAGES_TO_FORMAT = ("text_short", "image", "image_text", "title", "screenshot", "table")
 AGREED = ("ACCEPT", "ACCEPT_VISUAL")
 
 
@@ -92,3 +94,10 @@ def display_number(width: Column, x0: Column, x1: Column) -> Column:
 def stable(value: Column) -> Column:
     """A map with its keys in order."""
     return F.map_from_entries(F.array_sort(F.map_entries(value)))
+
+
+def page_analysis(text: Column) -> dict[str, Column]:
+    """A page's type and length, whether its form needs mending and how likely it is wrong."""
+    t = F.coalesce(text, F.lit(""))
+    kind = page_type(t)
+    return {"page_type": kind, "chars": F.length(strip(t)), "risk": F.when(kind.isin(*HIGH_RISK_PAGES), "high").otherwise("low"), "need_format_fix": kind.isin(*PAGES_TO_FORMAT) | ((t != "") & tr.lacks_structure(t))}

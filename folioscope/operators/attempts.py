@@ -88,6 +88,27 @@ def clipped_average(attempts: DataFrame, start: float = 2.65, alpha: float = 0.3
     return rows.select("doc", F.size("x").cast("long").alias("samples"), F.aggregate("x", F.lit(start), step).alias("average"))
 
 
+def observed_average(rows: DataFrame, key: str, counts, start: float, alpha: float = 0.3, clip: float = 3.0) -> DataFrame:
+    """Per key the moving average of the seconds that count, in order, each clipped to ``clip`` times the average so far. rows: key, ord, seconds.
+
+    Clipping makes each step depend on the one before, so a key's counted observations (16 bytes each) meet in one task.
+    """
+    held = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(counts, F.struct("ord", F.greatest(F.lit(0.0), "seconds").alias("seconds"))))).alias("x"))
+
+    def step(s, x):
+        seen = F.when(s > 0, F.least(x["seconds"], F.lit(clip) * s)).otherwise(x["seconds"]) if clip > 0 else x["seconds"]
+        return F.lit(alpha) * seen + F.lit(1 - alpha) * s
+
+    return held.select(key, F.size("x").cast("long").alias("samples"), F.aggregate("x", F.lit(start), step).alias("average"))
+
+
+def moving_average(rows: DataFrame, key: str, start: float = 0.0, alpha: float = 0.3) -> DataFrame:
+    """Per key the moving average of values in order, as a weighted sum: combined before the shuffle but for the rank. rows: key, ord, value."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("ord"))) - 1
+    weighed = rows.select(key, (F.lit(alpha) * F.pow(F.lit(1 - alpha), back) * F.col("value")).alias("part"))
+    return weighed.groupBy(key).agg(F.count("*").alias("samples"), (F.sum("part") + F.lit(start) * F.pow(F.lit(1 - alpha), F.count("*"))).alias("average"))
+
+
 def sessions(attempts: DataFrame, gap: int = 7200) -> DataFrame:
     """Session number, start, end and size: a session ends where the next attempt is more than ``gap`` seconds later."""
     late = F.expr(f"timestampdiff(MICROSECOND, lag(ts) over (partition by doc order by ord), ts) > {gap} * 1000000L")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import fences as fe
 from folioscope.functions import transcript as tr
+from folioscope.operators import attempts as op
 from folioscope.plans import evidence
 from folioscope.sources.tables import load
 
@@ -43,3 +44,27 @@ _order = lambda: Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_par
 _add("e25_recorded", lambda s, d: load(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.count("*").over(_order()).alias("calls"), F.sum("l_quantity").over(_order()).alias("seconds")),
      "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) OVER w AS calls, sum(l_quantity) OVER w AS seconds FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 _add("h99_stable", lambda s, d: load(s, d, "nation").select("n_nationkey", F.to_json(fe.stable(F.create_map(F.lit("z"), _c("n_name"), F.lit("a"), _c("n_regionkey").cast("string")))).alias("value")), """SELECT n_nationkey, '{"a":"' || n_regionkey || '","z":"' || n_name || '"}' AS value FROM nation""")
+
+_PAGES = (("", "empty 0 high false"), ("Short words.", "text_short 12 high true"), ("INTRODUCTION", "title 12 low true"), ("plain words here " * 10 + "and on.", "text 177 low false"), ("word " * 800, "text 3999 low true"))
+_by_case("b23_page_analysis", list(_PAGES), lambda t: F.concat_ws(" ", *[fe.page_analysis(t)[k].cast("string") for k in ("page_type", "chars", "risk", "need_format_fix")]))
+
+
+def _batch_report(s, d):
+    # fixed pages, one for each document, so that a source's report counts them by the table's rows
+    page = F.element_at(F.array(*[F.lit(t) for t, _ in _PAGES]), (_c("doc_id") % len(_PAGES) + 1).cast("int"))
+    own = fe.page_analysis(page)
+    pages = load(s, d, "documents").select("source", own["risk"].alias("risk"), own["chars"].alias("chars"))
+    high = F.count_if(_c("risk") == "high")
+    return pages.groupBy("source").agg(F.greatest(F.lit(0), 100 - 15 * high).alias("score"), high.alias("errors"), F.count_if((_c("risk") == "low") & (_c("chars") < 100)).alias("warnings"))
+
+
+_add("d30_batch_report", _batch_report, "SELECT source, greatest(0, 100 - 15 * count(*) FILTER (doc_id % 5 < 2)) AS score, count(*) FILTER (doc_id % 5 < 2) AS errors, count(*) FILTER (doc_id % 5 = 2) AS warnings FROM documents GROUP BY source")
+_lines = lambda s, d: load(s, d, "lineitem").withColumn("ord", F.struct("l_linenumber", "l_partkey", "l_suppkey"))
+_seen = lambda value: f"list(({value})::DOUBLE ORDER BY l_linenumber, l_partkey, l_suppkey)"
+_fold = lambda start: f"CASE WHEN len(x) = 0 THEN {start}::DOUBLE ELSE list_reduce(x, lambda s, v: 0.3::DOUBLE * CASE WHEN s > 0 THEN least(v, 3.0::DOUBLE * s) ELSE v END + 0.7::DOUBLE * s, {start}::DOUBLE) END"
+_add("e16_page_average", lambda s, d: op.observed_average(_lines(s, d).withColumn("seconds", _c("l_quantity").cast("double")), "l_orderkey", (_c("l_returnflag") != "A") & (_c("l_linestatus") == "F"), 4.0),
+     f"SELECT l_orderkey, len(x) AS samples, {_fold(4.0)} AS average FROM (SELECT l_orderkey, coalesce({_seen('l_quantity')} FILTER (l_returnflag <> 'A' AND l_linestatus = 'F'), []) AS x FROM lineitem GROUP BY l_orderkey)")
+_add("e17_load_average", lambda s, d: op.observed_average(_lines(s, d).withColumn("seconds", _c("l_tax").cast("double") * 20), "l_orderkey", (_c("l_linestatus") == "F") & (_c("seconds") > 0.5), 0.0),
+     f"SELECT l_orderkey, len(x) AS samples, {_fold(0.0)} AS average FROM (SELECT l_orderkey, coalesce({_seen('l_tax::DOUBLE * 20')} FILTER (l_linestatus = 'F' AND l_tax::DOUBLE * 20 > 0.5), []) AS x FROM lineitem GROUP BY l_orderkey)")
+_add("e18_deficit_average", lambda s, d: op.moving_average(_lines(s, d).withColumn("value", F.greatest(F.lit(0.0), _c("l_quantity").cast("double") - 25)), "l_orderkey"),
+     f"SELECT l_orderkey, len(x) AS samples, list_reduce(x, lambda s, v: 0.3::DOUBLE * v + 0.7::DOUBLE * s, 0::DOUBLE) AS average FROM (SELECT l_orderkey, {_seen('greatest(0, l_quantity::DOUBLE - 25)')} AS x FROM lineitem GROUP BY l_orderkey)")
