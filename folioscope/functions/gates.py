@@ -66,6 +66,16 @@ def priority(text: Column, corruption: Column, number: Column, context: Column,
     return 1.0 * structural_score(text, corruption) + 1.2 * number["score"] + 0.8 * context_score(context) + 0.6 * prior + F.least(F.lit(1.0), area / 8000.0) * 0.15 + right - penalty - wrong
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x scaled, rounded to the nearest whole (halves away from zero) and scaled back, all in double precision.
+
+    F.round rounds the shortest decimal that names the double, which differs where scaling itself reaches or leaves a half.
+    """
+    scaled = F.abs(x * 10.0**digits)
+    whole = F.floor(scaled).cast("double")
+    return F.signum(x) * F.when(scaled - whole >= 0.5, whole + 1.0).otherwise(whole) / 10.0**digits
+
+
 def bare(text: Column) -> Column:
     """Without spacing commands and white space."""
     return F.regexp_replace(F.regexp_replace(text, SPACING, ""), r"\\[ \t]|\\{2,}|\s+", "")

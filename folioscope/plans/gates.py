@@ -49,7 +49,7 @@ _PRIORITY = rf"""{_CLASS}, dn AS (SELECT *, {_DENSITY} AS d FROM n), pr AS (SELE
   + least(1, n_chars / 8000.0::DOUBLE) * 0.15::DOUBLE + 0.06 - CASE class WHEN 'non_equation_number' THEN 0.8 WHEN 'suspicious_number' THEN 0.35 ELSE 0 END AS total FROM dn)"""
 _total = lambda: g.priority(_c("tex"), _c("before_c"), _number(), _c("context"), _c("n_chars"), F.lit(0.06), F.lit(0.5), F.lit(0.0))
 _add("f02_priority_score", lambda d: d.select("doc_id", _total().alias("total")), f", {_PRIORITY} SELECT doc_id, total FROM pr")
-_add("f01_prioritised", lambda d: d.select("doc_id", F.round(_total(), 6).alias("t"), (_c("doc_id") % 20).alias("document")).select("doc_id", "document", F.row_number().over(Window.partitionBy("document").orderBy(F.desc("t"), "doc_id")).alias("rank")),
+_add("f01_prioritised", lambda d: d.select("doc_id", g.rounded(_total(), 6).alias("t"), (_c("doc_id") % 20).alias("document")).select("doc_id", "document", F.row_number().over(Window.partitionBy("document").orderBy(F.desc("t"), "doc_id")).alias("rank")),
      f", {_PRIORITY} SELECT doc_id, doc_id % 20 AS document, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY round(total, 6) DESC, doc_id) AS rank FROM pr")
 _add("h26_bare_tokens", lambda d: d.select("doc_id", g.bare(_c("tex")).alias("bare"), g.token_count(_c("tex")).alias("tokens"), g.truncated(_c("tex")).alias("truncated")), r"""
 SELECT doc_id, regexp_replace(regexp_replace(tex, '\\(?:quad|qquad|[,;:!]|hspace\s*\{[^}]*\}|vspace\s*\{[^}]*\})', '', 'g'), '\\[ \t]|\\{2,}|\s+', '', 'g') AS bare, len(regexp_extract_all(regexp_replace(tex, '\\(?:quad|qquad|[,;:!])', ' ', 'g'), '\\[A-Za-z]+|[A-Za-z0-9]+')) AS tokens,
