@@ -45,10 +45,19 @@ def projection(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"(?m)^---\s*$", ""), r"\s+", "")
 
 
+def respelled(text: Column) -> Column:
+    """All delimiters in dollar signs, names in brackets too, without white space; nothing is paired, every dollar sign stays."""
+    t = F.regexp_replace(F.regexp_replace(text, r"\\[()]", "\\$"), r"\\[\[\]]", "\\$\\$")
+    return F.regexp_replace(F.regexp_replace(t, r"\s+", ""), IDENT, "\\$$1\\$")
+
+
 def same_content(before: Column, after: Column) -> Column:
-    """Equal projections, or equal but for brackets around a name."""
+    """Equal projections, or equal but for brackets around a name, or equal but for how delimiters are spelled.
+
+    The last holds where dollar signs that are no delimiters would pair with others, before and after differently.
+    """
     a, b = projection(before), projection(after)
-    return (a == b) | (F.regexp_replace(a, IDENT, "$1") == F.regexp_replace(b, IDENT, "$1"))
+    return (a == b) | (F.regexp_replace(a, IDENT, "$1") == F.regexp_replace(b, IDENT, "$1")) | (respelled(before) == respelled(after))
 
 
 def patch_gate(before: Column, after: Column) -> Column:
