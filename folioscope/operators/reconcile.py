@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators import containment
+
 
 def tiered_lookup(rows: DataFrame, outcomes: DataFrame, least: int = 24) -> DataFrame:
     """rows (doc, id, raw) -> outcome by id, else by equal text, else by a text of the document that holds raw (or is held by it).
 
     The third tier compares only rows that the first two left, within their document, and only texts of ``least``
-    characters or more. Ties: the smaller outcome id.
+    characters or more; pairs come from anchors (``containment``), each is then compared. Ties: the smaller outcome id.
     """
-    by_text = outcomes.groupBy("doc", "text").agg(F.min(F.struct("oid", "outcome")).alias("t")).select("doc", F.col("text").alias("raw"), F.col("t.outcome").alias("o2"))
-    known = rows.join(outcomes.select("doc", F.col("oid").alias("id"), F.col("outcome").alias("o1")), ["doc", "id"], "left").join(by_text, ["doc", "raw"], "left")
+    by_text = outcomes.groupBy("doc", "text").agg(F.min(F.struct("oid", "outcome")).alias("t")).select("doc", F.col("text").alias("raw"), "t", F.col("t.outcome").alias("o2"))
+    known = rows.join(outcomes.select("doc", F.col("oid").alias("id"), F.col("outcome").alias("o1")), ["doc", "id"], "left").join(by_text.drop("t"), ["doc", "raw"], "left")
     left = known.where("o1 is null and o2 is null").where(F.length("raw") >= least).select("doc", "id", "raw")
-    o = outcomes.where(F.length("text") >= least).select("doc", "oid", "text", "outcome")
-    near = left.join(o, "doc").where(F.col("text").contains(F.col("raw")) | F.col("raw").contains(F.col("text")))
-    third = near.groupBy("doc", "id").agg(F.min(F.struct("oid", "outcome"))["outcome"].alias("o3"))
+    o = by_text.where(F.length("raw") >= least).select("doc", F.col("raw").alias("text"), "t")
+    names = lambda t, text, h: t.withColumn("d", F.xxhash64("doc")).withColumn(h, F.xxhash64(text))
+    near = containment.pairs(left.select("doc", F.col("raw").alias("text")), o.select("doc", "text"), least)
+    met = names(left, "raw", "a").join(near, ["d", "a"]).join(names(o, "text", "b").withColumnRenamed("doc", "_doc"), ["d", "b"])
+    held = F.col("text").contains(F.col("raw")) | F.col("raw").contains(F.col("text"))
+    third = met.where((F.col("doc") == F.col("_doc")) & held).groupBy("doc", "id").agg(F.min("t")["outcome"].alias("o3"))
     out = known.join(third, ["doc", "id"], "left")
     tier = F.when(F.col("o1").isNotNull(), 1).when(F.col("o2").isNotNull(), 2).when(F.col("o3").isNotNull(), 3)
     return out.select("doc", "id", F.coalesce("o1", "o2", "o3").alias("outcome"), tier.alias("tier"))
