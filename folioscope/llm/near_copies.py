@@ -1,10 +1,12 @@
 """Near copies by word shingles: documents whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more.
 
 Words as in ``simhash``; fewer words than ``width`` make one shingle, no words (null included) the empty set, which is a
-copy of itself alone. Shingles are compared as 64-bit hashes. Equal sets are one node. Candidates are nodes that share a
-min-hash band; the number of bands follows from the similarity, such that a pair right at it shares none with a
-probability of at most ``MISS``, and more similar pairs still less. Each candidate's similarity is then computed from the
-whole sets. Texts travel only for nodes that have a candidate, once for each pair of sub-shards: what bands connect forms
+copy of itself alone. Shingles are compared as 64-bit hashes. Equal sets are one node. A node's SimHash fingerprint has
+64 bits, each 1 if set in over half of its shingles' hashes. Fingerprints meet in BK-trees, and a tree is searched within the
+radius that a pair right at the similarity exceeds with a probability of at most ``MISS`` (29 bits at 0.8, so op10's
+pigeonhole shards, made for 3 bits, can't deal the trees). A tree holds the nodes of one min-hash band; the number of
+bands follows from the similarity, such that a pair right at it shares none with a probability of at most ``MISS``, and
+more similar pairs still less. What a tree finds is then compared exactly, by the whole sets. Texts travel only for nodes that have a candidate, once for each pair of sub-shards: what bands connect forms
 a shard, and a shard with over ``shard_shingles`` shingles is dealt to salted sub-shards, each pair of which meets in one
 task. In a task a node is not compared with those already in its component, which keeps dense groups near linear.
 """
@@ -84,11 +86,46 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of shingle hashes."""
+    counts = np.unpackbits(found.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<u8")[0])
+
+
+@lru_cache(maxsize=4)
+def reach(similarity: float, sizes: int = 24) -> int:
+    """The radius that a pair of fingerprints at the similarity exceeds with a probability of at most ``MISS``.
+
+    A bit differs most often for small sets, which are enumerated; large ones tend to the angle between them over pi.
+    """
+    worst = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    coin = [[math.comb(n, k) / 2**n for k in range(n + 1)] for n in range(sizes + 1)]
+    for a in range(1, sizes + 1):
+        for b in range(a, sizes + 1):
+            both = max(0, math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9))
+            if both <= a:
+                odds = 0.0
+                for k, p in enumerate(coin[both]):
+                    one = sum(q for j, q in enumerate(coin[a - both]) if 2 * (k + j) > a)
+                    other = sum(q for j, q in enumerate(coin[b - both]) if 2 * (k + j) > b)
+                    odds += p * (one * (1 - other) + other * (1 - one))
+                worst = max(worst, odds)
+    tail, radius = 0.0, 64
+    while radius and (tail := tail + math.comb(64, radius) * worst**radius * (1 - worst) ** (64 - radius)) <= MISS:
+        radius -= 1
+    return radius
+
+
 class Shard:
-    """Nodes taken one by one; what an added node is alike to, one of each component at least."""
+    """Nodes taken one by one; what an added node is alike to, one of each component at least.
+
+    Each band has a BK-tree of its nodes' fingerprints; children are keyed by Hamming distance to their parent. A search
+    follows only edges within the radius and skips subtrees that belong to the searcher's component.
+    """
 
     def __init__(self, similarity: float):
-        self.similarity, self.names, self.sets, self.up, self.buckets = similarity, [], [], [], {}
+        self.similarity, self.radius = similarity, reach(similarity)
+        self.names, self.sets, self.prints, self.up, self.trees = [], [], [], [], {}
 
     def find(self, i: int) -> int:
         up = self.up
@@ -98,31 +135,42 @@ class Shard:
         return i
 
     def add(self, name: int, found: np.ndarray, keys: list[int]) -> list[int]:
-        me, hits, tried = len(self.names), [], set()
+        me, hits, tried, find, radius, prints = len(self.names), [], set(), self.find, self.radius, self.prints
+        mine = fingerprint(found) if len(found) else 0
         self.names.append(name)
         self.sets.append(found)
+        prints.append(mine)
         self.up.append(me)
         for key in keys:
-            bucket = self.buckets.setdefault(key, {})
-            for root in list(bucket):
-                now = self.find(root)
-                if now != root:
-                    a, b = bucket.pop(root), bucket.get(now, [])
-                    if len(a) < len(b):
-                        a, b = b, a
-                    a.extend(b)
-                    bucket[now] = a
-            for root in list(bucket):
-                if self.find(root) == self.find(me):
+            tree = self.trees.get(key)
+            # a tree's entries: node -> [whether its subtree is of its component, children by distance]
+            stack = [next(iter(tree))] if tree else []
+            while stack:
+                i = stack.pop()
+                whole, kids = tree[i]
+                same = find(i) == find(me)
+                if whole and same:
                     continue
-                for other in bucket[root]:
-                    if other not in tried:
-                        tried.add(other)
-                        if alike(self.sets[other], found, self.similarity):
-                            hits.append(self.names[other])
-                            self.up[self.find(me)] = self.find(other)
-                            break
-            bucket.setdefault(self.find(me), []).append(me)
+                d = (prints[i] ^ mine).bit_count()
+                if d <= radius and not same and i not in tried:
+                    tried.add(i)
+                    if alike(self.sets[i], found, self.similarity):
+                        hits.append(self.names[i])
+                        self.up[find(me)] = find(i)
+                stack.extend(child for at, child in kids.items() if -radius <= at - d <= radius)
+        for key in keys:
+            tree = self.trees.setdefault(key, {})
+            i = next(iter(tree), None)
+            while i is not None:
+                entry = tree[i]
+                if entry[0] and find(i) != find(me):
+                    entry[0] = False
+                d = (prints[i] ^ mine).bit_count()
+                if d not in entry[1]:
+                    entry[1][d] = me
+                    break
+                i = entry[1][d]
+            tree[me] = [True, {}]
         return hits
 
 
