@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: White space of every word definition here: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Edges for which components() adds a task.
+TASK_EDGES = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,22 +49,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds, each a min-aggregation (combined map-side) and an equi-join with
     one row per key on one side, so that a node with very many edges is split by the skew join. Every round is
-    checkpointed to the shared folder; rounds grow with the logarithm of the longest path.
+    checkpointed to the shared folder; rounds grow with the logarithm of the longest path. Tasks grow with the edges, not
+    with the partitions set: what the driver keeps of tasks is much of its memory.
     """
     shared_dir(edges.sparkSession)
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
-    seen = None
+    seen = pairs.count()
+    few = lambda df, n=6 + seen // TASK_EDGES: df.coalesce(n)  # noqa: E731; rounds make no more edges than there were
+    pairs = few(pairs)
     for _ in range(max_rounds):
         both = pairs.union(pairs.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = few(few(both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = small.union(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        small = few(large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        pairs = few(small.union(few(low.select("a", F.col("m").alias("b")))).distinct()).checkpoint()
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
     else:
         raise RuntimeError("components() did not settle")
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select("b", "b").distinct())
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(few(pairs.select("b", "b").distinct()))
